@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, pii, sharding
+import public_tokenizers
+
+from tessera.llm import mixing, packing, pii, sharding, sstable
 from tessera.llm.common import table
 
 
+def op1_sum_of_squares_packing(spark, sf_dir, tokenizer=None):
+    return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -14,9 +20,13 @@ def op4_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op5_sorted_table_shards(spark, sf_dir, tokenizer=None):
+    return sstable.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_feistel_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_source_mixing, op7_feistel_sharding)}
+QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_pii, op4_source_mixing, op5_sorted_table_shards, op7_feistel_sharding)}
 ORACLES: dict[str, str] = {}
