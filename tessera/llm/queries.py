@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessera.llm import mixing, packing, pii, sharding, sstable
+from tessera.llm import mixing, packing, pii, sharding, simhash, sstable
 from tessera.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_simhash_near_dedup(spark, sf_dir):
+    return simhash.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -28,5 +32,5 @@ def op7_feistel_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_pii, op4_source_mixing, op5_sorted_table_shards, op7_feistel_sharding)}
+QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_pii, op3_simhash_near_dedup, op4_source_mixing, op5_sorted_table_shards, op7_feistel_sharding)}
 ORACLES: dict[str, str] = {}
