@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessera.llm import mixing, packing, pii, sharding, simhash, sstable
+from tessera.llm import mixing, mpeg, nndescent, packing, pii, sharding, simhash, sstable
 from tessera.llm.common import table
 
 
@@ -28,9 +28,17 @@ def op5_sorted_table_shards(spark, sf_dir, tokenizer=None):
     return sstable.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_nn_descent(spark, sf_dir):
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op7_feistel_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_pii, op3_simhash_near_dedup, op4_source_mixing, op5_sorted_table_shards, op7_feistel_sharding)}
+def op9_mpeg_audio(spark, sf_dir):
+    return mpeg.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_pii, op3_simhash_near_dedup, op4_source_mixing, op5_sorted_table_shards, op6_nn_descent, op7_feistel_sharding, op9_mpeg_audio)}
 ORACLES: dict[str, str] = {}
