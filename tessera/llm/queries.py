@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessera.llm import mixing, mpeg, nndescent, packing, pii, sharding, simhash, sstable
+from tessera.llm import bytecnn, mixing, mpeg, nndescent, packing, pii, sharding, simhash, sstable, suffix
 from tessera.llm.common import table
 
 
@@ -36,9 +36,17 @@ def op7_feistel_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_byte_cnn_quality(spark, sf_dir):
+    return bytecnn.digest(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op9_mpeg_audio(spark, sf_dir):
     return mpeg.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_pii, op3_simhash_near_dedup, op4_source_mixing, op5_sorted_table_shards, op6_nn_descent, op7_feistel_sharding, op9_mpeg_audio)}
+def op10_prefix_doubling(spark, sf_dir):
+    return suffix.repeated(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_pii, op3_simhash_near_dedup, op4_source_mixing, op5_sorted_table_shards, op6_nn_descent, op7_feistel_sharding, op8_byte_cnn_quality, op9_mpeg_audio, op10_prefix_doubling)}
 ORACLES: dict[str, str] = {}
