@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,8 +159,6 @@ def trained(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a column of scores of whole texts; null text counts as empty."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     @F.pandas_udf("double")
