@@ -223,6 +223,21 @@ def quantile_normal(df: DataFrame, column: str, key: str, out: str, distribution
     return df.join(q, df[column] == q["_v"], "left").withColumn(out, F.coalesce(z, F.lit(0.0))).drop("_v", "_q")
 
 
+def quantile_apply(df: DataFrame, train: DataFrame, column: str, out: str) -> DataFrame:
+    """Values of any frame on the normal scale fitted on ``train``: each takes the target of the least training value not below it, beyond the last the last's; null becomes 0."""
+    from tessera.functions.special import normal_ppf
+    from tessera.operators.relate import next_value
+
+    w = Window.orderBy(column)  # one row for each distinct training value
+    counts = train.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
+    n = F.sum("_c").over(Window.partitionBy())
+    fitted = counts.select(F.col(column).cast("double").alias("_v"), ((F.sum("_c").over(w) - (F.col("_c") + 1) / 2 + 0.5) / n).alias("_q"))
+    top = F.broadcast(fitted.agg(F.max("_v").alias("_top")))  # one row
+    found = next_value(df, train.select(F.col(column)).where(F.col(column).isNotNull()).distinct(), column, "_next").crossJoin(top)
+    at = found.withColumn("_at", F.when(F.col(column).isNotNull(), F.coalesce("_next", "_top")))
+    return at.join(fitted, F.col("_at") == F.col("_v"), "left").withColumn(out, F.coalesce(normal_ppf(F.col("_q")), F.lit(0.0))).drop("_next", "_top", "_at", "_v", "_q")
+
+
 # -- packed vectors -------------------------------------------------------------------
 def packed_columns(df: DataFrame) -> list[str]:
     """Text columns whose first value is a packed vector; one aggregation."""

@@ -22,6 +22,8 @@ def bootstrap(df: DataFrame, key: str, baseline: str, test: str, iterations: int
     resamples of a large table without moving rows. Above 99 % of the iterations: ** (better) or !! (worse); above 95 %: * or !.
     Sums of all iterations are kept in each partition, so the shuffle carries ``iterations`` numbers for each task.
     """
+    if iterations <= 0:
+        raise ValueError("iterations must be positive")
     gain = (F.col(baseline) - F.col(test)) if smaller_better else (F.col(test) - F.col(baseline))
     rows = df.select(F.xxhash64(key).alias("h"), gain.cast("double").alias("g")).where("g is not null")
     steps = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(1, 12)]) + np.exp(-1)

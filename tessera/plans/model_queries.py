@@ -380,21 +380,39 @@ def chromosome_names(spark, d):
     return table(spark, d, "part").select("p_partkey", C.chromosome(raw).alias("chrom"))
 
 
-@query("select s_suppkey, case when x > 1.05 and x <= 2.05 and y <= 0.05 then 'female' when x > 0.05 and x <= 1.05 and y > 0.05 and y <= 1.05 then 'male' else 'unclear' end as sex from (select s_suppkey, s_suppkey % 5 * 0.5 as x, s_suppkey % 3 * 0.5 as y from supplier)")
-def sex_call(spark, d):
+_CCN = "(select s_suppkey, s_suppkey % 5 * 0.52 as x, s_suppkey % 3 * 0.6 as y from supplier)"
+
+
+@query(
+    f"""with f as (select *, x > 1.05 as xx, y > 0.05 as yy from {_CCN}), o as (select *, y > 1.05 or x > 2.05 or (xx and yy) or not (xx or yy) as outlier from f)
+    select s_suppkey, xx and yy as contaminated, outlier, case when not outlier and xx and not yy then 'Female' when not outlier and not xx and yy then 'Male' else '' end as sex,
+    round(case when not outlier and xx and not yy then (x - 2) / 2 else 0 end, 6)::double as "chrX", round(case when not outlier and not xx and yy then y - 1 else 0 end, 6)::double as "chrY" from o"""
+)
+def sex_qc(spark, d):
     s = table(spark, d, "supplier")
-    return s.select("s_suppkey", C.sex_call(F.col("s_suppkey") % 5 * 0.5, F.col("s_suppkey") % 3 * 0.5).alias("sex"))
+    q = C.sex_qc(F.col("s_suppkey") % 5 * 0.52, F.col("s_suppkey") % 3 * 0.6)
+    return s.select("s_suppkey", *[(r(c) if n.startswith("chr") else c).alias(n) for n, c in q.items()])
 
 
-_XYZ = "(select p_partkey, 0.4124564 * a + 0.3575761 * b + 0.1804375 * c as x, 0.2126729 * a + 0.7151522 * b + 0.0721750 * c as y, 0.0193339 * a + 0.1191920 * b + 0.9503041 * c as z from (select p_partkey, p_size / 50.0::double as a, p_partkey % 7 / 7.0::double as b, p_partkey % 11 / 11.0::double as c from part))"
-_CURVE = "case when {t} > 216.0::double / 24389 then ({t}) ^ (1.0::double / 3) else (24389.0::double / 27 * ({t}) + 16) / 116 end"
+_XYZ = "(select p_partkey, 0.412453 * a + 0.357580 * b + 0.180423 * c as x, 0.212671 * a + 0.715160 * b + 0.072169 * c as y, 0.019334 * a + 0.119193 * b + 0.950227 * c as z from (select p_partkey, p_size / 50.0::double as a, p_partkey % 7 / 7.0::double as b, p_partkey % 11 / 11.0::double as c from part))"
+_CURVE = "case when {t} > 0.008856 then ({t}) ^ 0.333333::double else 7.787::double * ({t}) + 16.0::double / 116 end"
+_LAB = f"(select p_partkey, case when y > 0.008856 then 116 * y ^ 0.3333333::double - 16 else y * 903.3::double end as l, 500 * (fx - fy) as a, 200 * (fy - fz) as b from (select p_partkey, y, {_CURVE.format(t='x / 0.95047::double')} as fx, {_CURVE.format(t='y')} as fy, {_CURVE.format(t='z / 1.08883::double')} as fz from {_XYZ}))"
 
 
-@query(f"with f as (select p_partkey, {_CURVE.format(t='x / 0.95047::double')} as fx, {_CURVE.format(t='y')} as fy, {_CURVE.format(t='z / 1.08883::double')} as fz from {_XYZ}) select p_partkey, round(116 * fy - 16, 4) as l, round(500 * (fx - fy), 4) + 0.0 as a, round(200 * (fy - fz), 4) + 0.0 as b from f")
+def _lab():
+    return C.xyz_to_lab(*C.rgb_to_xyz(F.col("p_size") / 50.0, F.col("p_partkey") % 7 / 7.0, F.col("p_partkey") % 11 / 11.0))
+
+
+@query(f"select p_partkey, round(l, 4) as l, round(a, 4) + 0.0 as a, round(b, 4) + 0.0 as b from {_LAB}")
 def lab_colour(spark, d):
-    p = table(spark, d, "part")
-    l, a, b = C.xyz_to_lab(*C.rgb_to_xyz(F.col("p_size") / 50.0, F.col("p_partkey") % 7 / 7.0, F.col("p_partkey") % 11 / 11.0))
-    return p.select("p_partkey", r(l, 4).alias("l"), (r(a, 4) + 0.0).alias("a"), (r(b, 4) + 0.0).alias("b"))
+    l, a, b = _lab()
+    return table(spark, d, "part").select("p_partkey", r(l, 4).alias("l"), (r(a, 4) + 0.0).alias("a"), (r(b, 4) + 0.0).alias("b"))
+
+
+@query(f"select p_partkey, round(3.240479 * x - 1.537150 * y - 0.498535 * z, 4) + 0.0 as red from (select p_partkey, 0.95047::double * ((l + 16) / 116 + a / 500) ^ 3 as x, ((l + 16) / 116) ^ 3 as y, 1.08883::double * ((l + 16) / 116 - b / 200) ^ 3 as z from {_LAB})")
+def rgb_from_lab(spark, d):
+    red, _, _ = C.xyz_to_rgb(*C.lab_to_xyz(*_lab()))
+    return table(spark, d, "part").select("p_partkey", (r(red, 4) + 0.0).alias("red"))
 
 
 @query("select c_custkey, round((50 + c_custkey % 60) / (1.5 + c_custkey % 5 / 10.0::double) ^ 2, 6) as bmi from customer")

@@ -209,3 +209,15 @@ def test_small_learners():
 def test_covariate_sets():
     s = harness.covariate_sets({"Age": ["age"], "Gender": ["gender"]}, {"face": ["pc1", "y"]}, "y")
     assert s == {"Age": ["age"], "Gender": ["gender"], "face": ["pc1"], "AG": ["age", "gender"], "AG + face": ["age", "gender", "pc1"]}
+
+
+def test_quantile_of_new_values(spark):
+    train = spark.createDataFrame([(float(v),) for v in (1, 2, 2, 5)], "x double")
+    new = spark.createDataFrame([(0, 0.0), (1, 2.0), (2, 3.0), (3, 9.0), (4, None)], "i int, x double")
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf
+    got = {r.i: r.z for r in prep.quantile_apply(new, train, "x", "z").collect()}
+    assert got == pytest.approx({0: z(0.125), 1: z(0.5), 2: z(0.875), 3: z(0.875), 4: 0.0})
+    with pytest.raises(ValueError):
+        resample.bootstrap(new, "i", "x", "x", 0)
