@@ -2,27 +2,30 @@
 
 A byte-pair tokenizer first cuts the text into pre-tokens and encodes each on its own. Both files
 used here never join what stands on two sides of a lone space between non-spaces, so texts are cut
-there, and each distinct chunk goes to the library once for each worker while it is remembered. The ids are those
-of encoding the whole text; tests compare them.
+there, and each distinct chunk goes to the library's model once while a worker remembers it. Chunks
+are found, hashed (64 bits and the length) and looked up by array operations, not one by one. The ids are
+those of encoding the whole text; tests compare them.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
 
 import numpy as np
 
 #: Chunks that a worker remembers; beyond it, those seen once go first. Bounds its memory, changes no result.
-MEMO = 700_000
-#: Longer chunks are encoded but not remembered.
-LONGEST = 64
+MEMO = 1_400_000
 #: The end of a document.
 END = 2
 
-_SPACED = re.compile(rb"(?:[\s\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81][\x80-\xaf]|\xe3\x80\x80) ")
-_LONE_SPACE = re.compile(r"(?<!\s) (?=\S)")
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: White space beyond ASCII beside a space.
+_WIDE = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81][\x80-\xaf]|\xe3\x80\x80) | (?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81][\x80-\xaf]|\xe3\x80\x80)")
+_WEIGHT = np.random.default_rng(4096).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Marks that both files keep apart from the letters before them.
+_MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 _LATIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
@@ -47,32 +50,33 @@ class Encoder:
         self.library.encode_special_tokens = True  # their names in a text are ordinary text
         self.drops_space = self.library.normalizer is not None
         self.memo = memo
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[bytes, list[int]] = {}  # of single marks
         self.model = self.library.model
         self._pattern = None
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.size = 1 << max(10, (2 * self.memo).bit_length())
+        self.keys, self.slots = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
         self.begin, self.length, self.seen = (np.zeros(1024, np.int32) for _ in range(3))
+        self.hashes, self.known = np.zeros(1024, np.uint64), 0
         self.flat, self.used = np.zeros(4096, np.uint16), 0
 
     # -- cutting -----------------------------------------------------------
-    def chunks(self, text: bytes) -> list[bytes]:
-        """Parts of a text that the tokenizer treats apart. With spaces kept, all but the first have lost a leading one; the first is marked by a byte that no text holds."""
+    def _cut(self, buf: np.ndarray, doc_at: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, first of its text?) of the chunks; texts are parted by one space."""
+        space = _WHITE[buf]
         if self.drops_space:
-            return text.split()
-        if _SPACED.search(text):
-            parts = [p.encode() for p in _LONE_SPACE.split(text.decode())]
-        else:
-            parts = text.split(b" ")
-        parts[0] += b"\xff"
-        return parts
-
-    def _text(self, chunk: bytes) -> str:
-        if self.drops_space:
-            return chunk.decode()
-        return chunk[:-1].decode() if chunk.endswith(b"\xff") else " " + chunk.decode()
+            starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+            return starts, np.flatnonzero(~space & np.r_[space[1:], True]) + 1, np.zeros(len(starts), bool)
+        inner = np.flatnonzero((buf[1:-1] == 32) & ~space[:-2] & ~space[2:]) + 1
+        gaps = np.searchsorted(doc_end, inner)  # not the spaces that part texts
+        inner = inner[doc_end[np.minimum(gaps, len(doc_end) - 1)] != inner]
+        starts = np.concatenate([doc_at, inner + 1])
+        order = np.argsort(starts, kind="stable")
+        starts, first = starts[order], order < len(doc_at)
+        ends = np.r_[starts[1:] - 1, doc_end[-1]]
+        return starts, ends, first
 
     # -- the library -------------------------------------------------------
     def _pre_tokens(self, text: str) -> list[str]:
@@ -102,75 +106,154 @@ class Encoder:
             piece = piece.encode().decode("latin-1").translate(_SHOWN)
         return [t.id for t in self.model.tokenize(piece)]
 
-    def _learn(self, chunks: list[bytes]) -> list[list[int]]:
-        pieces, out = self.pieces, []
-        if len(pieces) > self.memo:
-            pieces.clear()
-        for c in chunks:
-            ids: list[int] = []
-            for p in self._pre_tokens(self._text(c)):
-                got = pieces.get(p)
-                if got is None:
-                    got = self._ids(p)
-                    if len(p) <= LONGEST:
-                        pieces[p] = got
-                ids = ids + got if ids else got
+    def _learn(self, chunks: list[bytes], firsts: list[bool]) -> list[list[int]]:
+        """Ids of chunks that the memo lacks. A word with a mark behind it is encoded without it."""
+        out, stems = [], {}
+        kept, model, marks = not self.drops_space, self.model.tokenize, self.pieces
+        for c, first in zip(chunks, firsts, strict=True):
+            mark = c[-1:]
+            stem = c[:-1] if mark in _MARKS and len(c) > 1 else c
+            if not first and stem.isalpha():  # ASCII letters: one pre-token, shown as itself
+                ids = stems.get(stem)
+                if ids is None:
+                    word = stem.decode()
+                    ids = stems[stem] = [t.id for t in model("\u0120" + word if kept else word.lower())]
+                if stem is not c:
+                    got = marks.get(mark)
+                    if got is None:
+                        got = marks[mark] = self._ids(mark.decode())
+                    ids = ids + got
+            else:
+                text = c.decode() if first or not kept else " " + c.decode()
+                ids = [i for p in self._pre_tokens(text) for i in self._ids(p)]
             out.append(ids)
         return out
 
     # -- memo --------------------------------------------------------------
-    def _store(self, chunks: list[bytes], ids: list[list[int]]) -> None:
-        n, k = len(self.index), len(chunks)
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the entries with these hashes, -1 where there is none; linear probing for all at once."""
+        out = np.full(len(h), -1, np.int32)
+        slot = (h >> np.uint64(64 - self.size.bit_length() + 1)).astype(np.int64)
+        rest = None
+        while True:
+            k = self.keys[slot]
+            hit = k == (h if rest is None else h[rest])
+            open_ = ~hit & (k != 0)
+            if rest is None:
+                out[hit] = self.slots[slot[hit]]
+                rest = np.flatnonzero(open_)
+            else:
+                out[rest[hit]] = self.slots[slot[hit]]
+                rest = rest[open_]
+            if not len(rest):
+                return out
+            slot = (slot[open_] + 1) & (self.size - 1)
+
+    def _insert(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        slot = (h >> np.uint64(64 - self.size.bit_length() + 1)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]], self.slots[slot[free]] = h[free], numbers[free]
+            lost = self.keys[slot] != h
+            h, numbers, slot = h[lost], numbers[lost], (slot[lost] + 1) & (self.size - 1)
+
+    def _store(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, k = self.known, len(h)
         while n + k > len(self.begin):
-            self.begin, self.length, self.seen = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.length, self.seen))
-        sizes = np.fromiter(map(len, ids), np.int64, k)
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
+            self.begin, self.length, self.seen, self.hashes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.length, self.seen, self.hashes))
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint16, total)
+        self.flat[self.used : self.used + len(ids)] = ids
         self.begin[n : n + k] = self.used + np.cumsum(sizes) - sizes
-        self.length[n : n + k] = sizes
-        self.seen[n : n + k] = 0
-        self.used += total
-        self.index.update(zip(chunks, range(n, n + k), strict=True))
-
-    def _trim(self) -> None:
-        """Keep what was seen again since it was learnt, or nothing if that is most."""
-        again = [(c, i) for c, i in self.index.items() if self.seen[i] > 1]
-        if len(again) > self.memo // 2:
-            again = []
-        ids = [self.flat[self.begin[i] : self.begin[i] + self.length[i]].tolist() for _, i in again]
+        self.length[n : n + k], self.hashes[n : n + k] = sizes, h
+        self.used, self.known = self.used + len(ids), n + k
+        self._insert(h, np.arange(n, n + k, dtype=np.int32))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these entries, ends of each)."""
+        sizes = self.length[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        where = np.repeat((self.begin[at] - (ends - sizes)).astype(np.int32), sizes)
+        where += np.arange(len(where), dtype=np.int32)
+        return self.flat[where], ends
+
+    def _trim(self, more: int) -> None:
+        """Make room: keep what was seen again since it was learnt, or nothing if that is most."""
+        again = np.flatnonzero(self.seen[: self.known] > 1)
+        if len(again) + more > self.memo:
+            again = again[:0]
+        h, sizes = self.hashes[again], self.length[again].astype(np.int64)
+        ids, _ = self._gather(again)
         self._reset()
-        self._store([c for c, _ in again], ids)
+        self._store(h, sizes, ids)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in one uint16 array, number of ids of each text)."""
-        cut = [self.chunks(t) for t in texts]
-        flat = [c for x in cut for c in x]
-        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int32, len(flat))
+        if not self.drops_space and any(map(_WIDE.search, texts)):  # rare white space that bytes alone don't show
+            got = [np.array(self.library.encode(t.decode(), add_special_tokens=False).ids, np.uint16) for t in texts]
+            return np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+        joined = b" ".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        doc_at = np.cumsum(sizes + 1) - sizes - 1
+        doc_end = doc_at + sizes
+        if not joined:
+            return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
+        buf = np.frombuffer(joined, np.uint8)
+        starts, ends, first = self._cut(buf, doc_at, doc_end)
+        full = ends > starts
+        starts, ends, first = starts[full], ends[full], first[full]
+        h = _hashes(buf, starts, ends, first)
+        at = self._find(h)
         miss = np.flatnonzero(at < 0)
         if len(miss):
-            new = list({flat[i]: None for i in miss.tolist()})
-            if len(self.index) + len(new) > self.memo:
-                self._trim()
-                at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int32, len(flat))
+            new, where = np.unique(h[miss], return_index=True)
+            if self.known + len(new) > self.memo:
+                self._trim(len(new))
+                at = self._find(h)
                 miss = np.flatnonzero(at < 0)
-                new = list({flat[i]: None for i in miss.tolist()})
-            self._store(new, self._learn(new))
-            index = self.index
-            at[miss] = [index[flat[i]] for i in miss.tolist()]
-        self.seen += np.bincount(at, minlength=len(self.seen)).astype(np.int32)
-        sizes = self.length[at]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat((self.begin[at] - (ends - sizes)).astype(np.int32), sizes)
-        where += np.arange(total, dtype=np.int32)
-        ids = self.flat[where]
-        bounds = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
-        upto = np.concatenate([[0], ends])[bounds] if len(bounds) else np.zeros(0, np.int64)
-        if len(self.index) > 2 * self.memo or self.used > 16 * self.memo:  # one batch alone was larger
+                new, where = np.unique(h[miss], return_index=True)
+            where = miss[where]
+            got = self._learn([joined[b:e] for b, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], first[where].tolist())
+            counts = np.fromiter(map(len, got), np.int64, len(got))
+            self._make_room(len(new))
+            self._store(new, counts, np.fromiter((i for x in got for i in x), np.uint16, int(counts.sum())))
+            at[miss] = self._find(h[miss])
+        self.seen[: self.known] += np.bincount(at, minlength=self.known).astype(np.int32)
+        ids, upto = self._gather(at)
+        bounds = np.concatenate([[0], upto])[np.searchsorted(starts, doc_end)]
+        if self.known > 2 * self.memo or self.used > 16 * self.memo:  # one batch alone was larger
             self._reset()
-        return ids, np.diff(upto, prepend=0)
+        return ids, np.diff(bounds, prepend=0)
+
+    def _make_room(self, more: int) -> None:
+        """A larger table if one batch needs it."""
+        if 2 * (self.known + more) > self.size:
+            while 2 * (self.known + more) > self.size:
+                self.size *= 2
+            self.keys, self.slots = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
+            self._insert(self.hashes[: self.known], np.arange(self.known, dtype=np.int32))
+
+
+def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each chunk, its length and whether it is a text's first; never 0.
+
+    Differences of running sums over bytes, each weighted by its place in the chunk (places go round after 4096).
+    """
+    place = np.arange(len(buf), dtype=np.int32)
+    place -= np.repeat(np.r_[0, starts].astype(np.int32), np.diff(np.r_[0, starts, len(buf)]))
+    place &= 4095
+    total = np.zeros(len(buf) + 1, np.uint64)
+    mixed = _WEIGHT[place]
+    mixed *= buf
+    np.cumsum(mixed, out=total[1:])
+    h = total[ends] - total[starts]
+    h += (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= first.astype(np.uint64) << np.uint64(40)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return np.where(h == 0, np.uint64(1), h)
 
 
 _encoders: dict[str, Encoder] = {}
