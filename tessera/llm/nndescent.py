@@ -21,7 +21,7 @@ from tessera.llm.common import written
 from tessera.llm.graph import components
 
 #: Length of a neighbour list before it is enlarged, hyperplane orders of the start, vectors compared along each, members of a tile.
-NEIGHBOURS, ORDERS, LEAF, TILE = 10, 8, 32, 1024
+NEIGHBOURS, ORDERS, LEAF, TILE = 10, 8, 32, 256
 #: The audit's sample (never more, whatever the table's size), the recall it wants, and the rounds that may be added for it.
 AUDIT, RECALL, ROUNDS, MORE = 256, 0.97, 2, 3
 ARROW = "u long, v long, sim double"
