@@ -63,3 +63,55 @@ def covariate_sets(standard: dict[str, list[str]], own: dict[str, list[str]], ta
     label, agg = initials(standard)
     sets = {**standard, **own, label: agg, **{f"{label} + {k}": list(dict.fromkeys([*agg, *v])) for k, v in own.items()}}
     return {k: kept for k, v in sets.items() if (kept := [c for c in v if c != target])}
+
+
+def evaluate_classes(df: DataFrame, key: str, target: str, sets: dict[str, list[str]], n_training: int = 10, n_holdout: int = 2, l2: float = 1e-4) -> DataFrame:
+    """One row for each covariate set of a two-class target: accuracy, error, log-loss, samples, pooled over out-of-fold rows; first the mode class's row."""
+    from tessera.operators import logistic
+
+    spark = df.sparkSession
+    needed = list(dict.fromkeys([key, *chain.from_iterable(sets.values()), target]))
+    own = folds.hashed_folds(df.select(*needed).dropna(), key, n_training, n_holdout, check=False).where(folds.in_training("fold", n_training))
+    base = metrics.naive_classes(own, target).first()
+    pred = own
+    for i, features in enumerate(sets.values()):
+        pred = pred.withColumn(f"_p{i}", logistic.probability(logistic.by_fold(own, features, target, "fold", n_training, l2), features, "fold"))
+    y = F.col(target)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i in range(len(sets)):
+        p = F.col(f"_p{i}")
+        aggs += [metrics.accuracy(y, (p >= 0.5).cast("int")).alias(f"a{i}"), metrics.log_loss(F.when(y == 1, p).otherwise(1 - p)).alias(f"l{i}")]
+    r = pred.agg(*aggs).first()
+    rows = [("ModeClass", "", 1 - base["error"], base["error"], base["log_loss"], r["n"])]
+    rows += [("Logistic", label, r[f"a{i}"], 1 - r[f"a{i}"], r[f"l{i}"], r["n"]) for i, label in enumerate(sets)]
+    out = spark.createDataFrame(rows, "model string, covariates string, accuracy double, error double, log_loss double, samples long")
+    return out.select("model", "covariates", *[F.round(c, 6).alias(c) for c in ("accuracy", "error", "log_loss")], "samples")
+
+
+def significance(df: DataFrame, key: str, target: str, sets: dict[str, list[str]], aggregate: str, n_training: int = 10, iterations: int = 1000) -> DataFrame:
+    """The ladder of paired bootstraps on absolute out-of-fold errors: each single set against the better naive model, the best single set against the
+    aggregate, and each set that adds to the aggregate against it. One row for each comparison."""
+    from tessera.operators import resample
+
+    needed = list(dict.fromkeys([key, *chain.from_iterable(sets.values()), target]))
+    own = folds.hashed_folds(df.select(*needed).dropna(), key, n_training, check=False).where(folds.in_training("fold", n_training))
+    naive = metrics.naive_regression(own, target).collect()
+    best_naive = min(naive, key=lambda r: r["mae"])["model"]
+    stats = own.agg(F.avg(target).alias("Mean"), F.percentile(target, 0.5).alias("Median")).first()
+    pred, score = own.withColumn("_naive", F.abs(F.col(target) - F.lit(float(stats[best_naive])))), {}
+    for i, (label, features) in enumerate(sets.items()):
+        res = gram.nested_ridge(own, features, target, "fold", n_training)
+        pred = out_of_fold(pred, res, features, out=f"_p{i}").withColumn(f"_e{i}", F.abs(F.col(target) - F.col(f"_p{i}")))
+        score[label] = res[-1]["mse"]
+    number = {label: i for i, label in enumerate(sets)}
+    single = [s for s in sets if s != aggregate and not s.startswith(f"{aggregate} + ")]
+    best = min(single, key=score.get)
+    steps = [(best_naive, s, "_naive", f"_e{number[s]}") for s in single]
+    steps += [(best, aggregate, f"_e{number[best]}", f"_e{number[aggregate]}")]
+    steps += [(aggregate, s, f"_e{number[aggregate]}", f"_e{number[s]}") for s in sets if s.startswith(f"{aggregate} + ")]
+    pred = pred.withColumn("_row", F.xxhash64(key, *dict.fromkeys(chain.from_iterable(sets.values())), target))
+    out = None
+    for base, test, a, b in steps:
+        one = resample.bootstrap(pred.select("_row", a, b), "_row", a, b, iterations).select(F.lit(base).alias("baseline"), F.lit(test).alias("test"), "stars", "better", "worse")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -461,3 +461,30 @@ def pca_scores_keep_variance(spark, d):
     w = _wide(spark, d, 3)
     s = decompose.pca(w, ["x0", "x1", "x2"]).project(w)
     return s.agg((F.var_pop("pc1") + F.var_pop("pc2") + F.var_pop("pc3")).alias("t")).select(F.lit("var").alias("what"), r("t").alias("total"))
+
+
+# -- classification, significance, identification -----------------------------------------
+@query()
+def classification_harness(spark, d):
+    t = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "quality", (F.col("n_chars") / 1000).alias("length"), (F.col("doc_id") % 7).cast("double").alias("noise"))
+    return harness.evaluate_classes(t, "doc_id", "quality", {"LENGTH": ["length"], "BOTH": ["length", "noise"]})
+
+
+@query()
+def significance_ladder(spark, d):
+    sets = {"QUANTITY": ["l_quantity"], "TAX": ["l_tax"], "QT": ["l_quantity", "l_tax"], "QT + DISCOUNT": ["l_quantity", "l_tax", "l_discount"]}
+    return harness.significance(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice", sets, "QT")
+
+
+@query()
+def identification_run(spark, d):
+    from tessera.plans import identify
+
+    e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)], *[(F.col("embedding")[i] * 2 + F.col("embedding")[(i + 1) % 8]).cast("double").alias(f"y{i}") for i in range(5)])
+    return identify.run(e, "vec_id", [f"x{i}" for i in range(8)], [f"y{i}" for i in range(5)])[0]
+
+
+@query()
+def nearest_neighbour_regression(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("double").alias("y"))
+    return match.knn(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), "vec_id", "v", "y", 5)

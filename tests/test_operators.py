@@ -221,3 +221,38 @@ def test_quantile_of_new_values(spark):
     assert got == pytest.approx({0: z(0.125), 1: z(0.5), 2: z(0.875), 3: z(0.875), 4: 0.0})
     with pytest.raises(ValueError):
         resample.bootstrap(new, "i", "x", "x", 0)
+
+
+def test_logistic_by_fold_and_harness(spark):
+    from tessera.operators import logistic
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 2)) * [1, 5] + [0, 100]
+    y = (rng.random(600) < 1 / (1 + np.exp(-(2 * x[:, 0] - 0.3 * (x[:, 1] - 100))))).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(v), i % 3) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))], "k int, a double, b double, y int, fold int")
+    w = logistic.by_fold(df, ["a", "b"], "y", "fold", 3, l2=0.0, steps=25)
+    keep = np.arange(600) % 3 != 1
+    z, beta = np.c_[np.ones(keep.sum()), x[keep]], w[1]
+    p = 1 / (1 + np.exp(-z @ beta))
+    assert np.abs(z.T @ (y[keep] - p)).max() < 1e-3
+    h = {(r.model, r.covariates): r for r in harness.evaluate_classes(df, "k", "y", {"A": ["a"], "AB": ["a", "b"]}).collect()}
+    assert h["Logistic", "AB"].log_loss < h["Logistic", "A"].log_loss < h["ModeClass", ""].log_loss
+
+
+def test_identification_and_knn(spark):
+    from tessera.plans import identify
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 4))
+    t = x @ rng.standard_normal((4, 3)) + 0.01 * rng.standard_normal((300, 3))
+    df = spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(x, t, strict=True))], "k long, a double, b double, c double, d double, x double, y double, z double")
+    k, facts = identify.run(df, "k", list("abcd"), list("xyz"), 0.8)
+    assert k.count() == 60 and facts["precision"] > 95 and facts["test"] == 60
+    small = identify.ranks(identify.predicted(df.where("k >= 240"), identify.fit(df.where("k < 240"), list("abcd"), list("xyz")), list("abcd"), 3), "k", "predicted", list("xyz"), block=13)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, k.collect()))
+    v = spark.createDataFrame([(i, a.tolist(), float(b[0])) for i, (a, b) in enumerate(zip(x, t, strict=True))], "k long, v array<double>, y double")
+    got = {r.k: r.predicted for r in match.knn(v.where("k >= 20"), v.where("k < 20"), "k", "v", "y", 3, block=50).collect()}
+    for i in range(20):
+        near = np.argsort(((x[20:] - x[i]) ** 2).sum(1))[:3]
+        assert got[i] == pytest.approx(t[20:, 0][near].mean())
+    assert len(identify.sweep({"a": ["x"], "b": ["y"]}, [1, 2, 3], ["v1"])) == 6
