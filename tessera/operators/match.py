@@ -181,3 +181,17 @@ def knn(train: DataFrame, test: DataFrame, key: str, vector: str, value: str, k:
     c = both.groupBy("a", "b").applyInArrow(meet, "id long, d double, y double")
     best = c.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "y"))).where(F.col("n") <= k)
     return best.groupBy(F.col("id").alias(key)).agg(F.avg("y").alias("predicted"))
+
+
+def panel(df: DataFrame, key: str, column_sets: dict[str, tuple[list[str], list[str]]], metrics_: list[str], n_lineups: int = 100, size: int = 10, seed: int = 47) -> DataFrame:
+    """(columns, metric, method, accuracy) of every column set with every distance: one-to-one, greedy and independent matching in the same line-ups."""
+    members, out = lineups(df, key, n_lineups, size, seed), None
+    for label, (source, target) in column_sets.items():
+        whole = df.dropna(subset=[*source, *target])
+        v = whole.select(key, F.array(*[F.col(c).cast("double") for c in source]).alias("a"), F.array(*[F.col(c).cast("double") for c in target]).alias("b"))
+        for m in metrics_:
+            p = similarity(pairs_in(members, v, key, "a", "b", m))
+            for method, got in (("match", one_to_one(p)), ("select_unique", one_to_one(p, "greedy")), ("select", argmax_match(p))):
+                row = match_accuracy(got).select(F.lit(label).alias("columns"), F.lit(m).alias("metric"), F.lit(method).alias("method"), "accuracy")
+                out = row if out is None else out.unionByName(row)
+    return out

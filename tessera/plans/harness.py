@@ -115,3 +115,27 @@ def significance(df: DataFrame, key: str, target: str, sets: dict[str, list[str]
         one = resample.bootstrap(pred.select("_row", a, b), "_row", a, b, iterations).select(F.lit(base).alias("baseline"), F.lit(test).alias("test"), "stars", "better", "worse")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def ordered(table_: DataFrame, standard: list[str], own: list[str], aggregate: str) -> DataFrame:
+    """Rows in reading order: baselines, standard sets, own sets, the aggregate, what adds to it, the rest by name."""
+    c = F.col("covariates")
+    place = F.when(c == "", 0).when(c.isin(*standard), 1).when(c.isin(*own), 2).when(c == aggregate, 3).when(c.startswith(f"{aggregate} + "), 4).otherwise(5)
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, [*standard, *own])), c), F.lit(0))
+    return table_.orderBy(place, rank, c, "model")
+
+
+def side_by_side(table_: DataFrame, targets: list[str], metrics_: list[str]) -> DataFrame:
+    """One row for each model and set, with "target: metric" columns."""
+    wide = table_.groupBy("model", "covariates").pivot("target", targets).agg(*[F.first(m).alias(m) for m in metrics_])
+    one = len(metrics_) == 1
+    return wide.select("model", "covariates", *[F.col(f"`{t}`" if one else f"`{t}_{m}`").alias(f"{t}: {m}") for t in targets for m in metrics_])
+
+
+def with_prefix(table_: DataFrame, aggregate: str, keep: bool = True) -> DataFrame:
+    """Rows that do (or do not) carry the aggregate's prefix, always with the baselines and the sets that have no such twin."""
+    c = F.col("covariates")
+    twins = table_.where(c.startswith(f"{aggregate} + ")).select(F.substring("covariates", len(aggregate) + 4, 1000).alias("_own")).distinct()
+    if keep:
+        return table_.join(twins, c == F.col("_own"), "left_anti")
+    return table_.where(~c.startswith(f"{aggregate} + "))

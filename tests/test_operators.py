@@ -256,3 +256,17 @@ def test_identification_and_knn(spark):
         near = np.argsort(((x[20:] - x[i]) ** 2).sum(1))[:3]
         assert got[i] == pytest.approx(t[20:, 0][near].mean())
     assert len(identify.sweep({"a": ["x"], "b": ["y"]}, [1, 2, 3], ["v1"])) == 6
+
+
+def test_panel_and_tables(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((80, 3))
+    df = spark.createDataFrame([(i, *map(float, r), *map(float, r + 0.01)) for i, r in enumerate(x)], "k long, a double, b double, c double, d double, e double, f double")
+    got = {(r["columns"], r.metric, r.method): r.accuracy for r in match.panel(df, "k", {"all": (list("abc"), list("def"))}, ["Euclidean"], 5, 6).collect()}
+    assert set(got.values()) == {1.0} and len(got) == 3
+    t = spark.createDataFrame([("y", "Ridge", c, float(i)) for i, c in enumerate(["z", "AG + face", "AG", "face", "Age", ""])], "target string, model string, covariates string, r2 double")
+    assert [r.covariates for r in harness.ordered(t, ["Age"], ["face"], "AG").collect()] == ["", "Age", "face", "AG", "AG + face", "z"]
+    assert {r.covariates for r in harness.with_prefix(t, "AG").collect()} == {"", "Age", "AG", "AG + face", "z"}
+    assert harness.side_by_side(t, ["y"], ["r2"]).columns == ["model", "covariates", "y: r2"]
+    n = spark.createDataFrame([(1, 2.0, False), (2, 4.0, False), (3, None, True)], "k int, distance double, empty boolean")
+    assert {r.k: r.distance for r in match.null_rows_mean(n, F.col("empty")).collect()}[3] == 3.0
