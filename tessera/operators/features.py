@@ -96,7 +96,18 @@ def snp_kernel(x: DataFrame) -> DataFrame:
     return k.crossJoin(F.broadcast(scale)).select("a", "b", (F.col("k") / F.col("_d")).alias("k"))  # one row
 
 
-def moving_quantiles(df: DataFrame, x: str, y: str, quantiles: list[float], window: int) -> DataFrame:
-    """Centred moving quantiles of y in order of x: rows i - w/2 up to i + w/2 - 1."""
-    w = Window.orderBy(x).rowsBetween(-(window // 2), window // 2 - 1)
-    return df.select(x, y, *[F.percentile(y, q).over(w).alias(f"q{round(q * 100)}") for q in quantiles])
+def moving_quantiles(df: DataFrame, x: str, y: str, quantiles: list[float], window: int, block: int = 100_000) -> DataFrame:
+    """Centred moving quantiles and mean of y in order of x (then y): rows i - w/2 up to i + w/2 - 1.
+
+    Rows are numbered, then dealt to blocks of positions; a block also gets the half windows before and after it, so no task sorts everything.
+    """
+    from tessera.operators.folds import positions
+
+    half, block = window // 2, max(block, window)
+    p = positions(df.select(x, y), x, y)
+    own = F.floor(F.col("position") / block)
+    near = F.array_distinct(F.array(own, F.floor((F.col("position") - half) / block), F.floor((F.col("position") + half) / block)))
+    dealt = p.withColumn("_own", own).withColumn("_block", F.explode(near))
+    w = Window.partitionBy("_block").orderBy("position").rowsBetween(-half, half - 1)
+    cols = [F.percentile(y, q).over(w).alias(f"q{round(q * 100)}") for q in quantiles]
+    return dealt.select(x, y, "_own", "_block", *cols, F.avg(y).over(w).alias("mean")).where("_own = _block").drop("_own", "_block")

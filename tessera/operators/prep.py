@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import clip, is_packed, numeric, standardise, unstandardise
@@ -212,13 +212,19 @@ class Prepared:
         return df.withColumns({c: unstandardise(F.col(c), F.lit(self.stats[f"{t}|m"]), F.lit(self.stats[f"{t}|s"])) if self.specs[t].standard else F.col(c) for c, t in columns.items()})
 
 
+def quantiles(df: DataFrame, column: str) -> DataFrame:
+    """(_v, _q): each distinct value and its average-tie rank (rank - 1/2) / n."""
+    from tessera.operators.relate import running_total
+
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    return running_total(counts, "_v", "_c", "_b", "_n").select("_v", ((F.col("_b") + (F.col("_c") - 1) / 2 + 0.5) / F.col("_n")).alias("_q"))
+
+
 def quantile_normal(df: DataFrame, column: str, key: str, out: str, distribution: str = "normal") -> DataFrame:
     """Average-tie ranks (rank - 1/2) / n through the inverse distribution; null becomes 0. 'uniform' gives q - 1."""
     from tessera.functions.special import normal_ppf
 
-    ranked = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(column)  # one row for each distinct value
-    q = ranked.select(F.col(column).alias("_v"), ((F.sum("_c").over(w) - F.col("_c") + (F.col("_c") - 1) / 2 + 0.5) / F.sum("_c").over(Window.partitionBy())).alias("_q"))
+    q = quantiles(df, column)
     z = normal_ppf(F.col("_q")) if distribution == "normal" else F.col("_q") - 1
     return df.join(q, df[column] == q["_v"], "left").withColumn(out, F.coalesce(z, F.lit(0.0))).drop("_v", "_q")
 
@@ -228,10 +234,7 @@ def quantile_apply(df: DataFrame, train: DataFrame, column: str, out: str) -> Da
     from tessera.functions.special import normal_ppf
     from tessera.operators.relate import next_value
 
-    w = Window.orderBy(column)  # one row for each distinct training value
-    counts = train.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
-    n = F.sum("_c").over(Window.partitionBy())
-    fitted = counts.select(F.col(column).cast("double").alias("_v"), ((F.sum("_c").over(w) - (F.col("_c") + 1) / 2 + 0.5) / n).alias("_q"))
+    fitted = quantiles(train, column).withColumn("_v", F.col("_v").cast("double"))
     top = F.broadcast(fitted.agg(F.max("_v").alias("_top")))  # one row
     found = next_value(df, train.select(F.col(column)).where(F.col(column).isNotNull()).distinct(), column, "_next").crossJoin(top)
     at = found.withColumn("_at", F.when(F.col(column).isNotNull(), F.coalesce("_next", "_top")))

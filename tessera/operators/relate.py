@@ -63,6 +63,21 @@ def next_value(df: DataFrame, reference: DataFrame, value: str, out: str, by: li
     return joined.withColumn(out, F.when(F.col("_v").isNull(), None).otherwise(F.coalesce("_own", "_after"))).drop("_v", "_side", "_r", "_p", "_q", "_own", "_after")
 
 
+def running_total(df: DataFrame, order: str, amount: str, out: str, total: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows before it in ``order`` (ties in any order), and over all rows.
+
+    Rows are dealt by range; each range sums its own, and the ranges' totals (one row for each partition) are added from a broadcast table.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
+    sums = dealt.groupBy("_p").agg(F.sum(amount).alias("_s"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    before = sums.select(F.col("_p").alias("_q"), (F.sum("_s").over(w) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias(total))
+    own = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("_own", F.sum(amount).over(own) - F.col(amount)).join(F.broadcast(before), F.col("_p") == F.col("_q"))
+    return placed.withColumn(out, F.col("_before") + F.col("_own")).drop("_p", "_q", "_before", "_own")
+
+
 def masked_where_different(pairs: DataFrame, notes: DataFrame, key: str, note: str, value: str, fill: float) -> DataFrame:
     """Pairs (source, target) whose annotations differ get ``fill``."""
     a = notes.select(F.col(key).alias("source"), F.col(note).alias("_a"))

@@ -440,3 +440,64 @@ def weighted_mean(spark, d):
 @query("select s_suppkey, round(s_acctbal / sum(s_acctbal) over (partition by s_nationkey), 6) as share from supplier")
 def group_normalise(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", r(F.col("s_acctbal") / F.sum("s_acctbal").over(Window.partitionBy("s_nationkey"))).alias("share"))
+
+
+# -- aggregates and scalar functions ---------------------------------------------------------
+@query("select l_returnflag, count(*) as support, round(count(*) / sum(count(*)) over (), 6) as share from lineitem group by 1")
+def value_counts(spark, d):
+    c = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("support"))
+    return c.withColumn("share", r(F.col("support") / F.sum("support").over(Window.partitionBy())))
+
+
+@query("select event_type, round(quantile_cont(value, 0.05), 6) as q5, round(median(value), 6) as q50, round(quantile_cont(value, 0.95), 6) as q95, round(stddev_pop(value), 6) as sd_pop, round(stddev_samp(value), 6) as sd_samp from events group by 1")
+def quantiles_and_deviations(spark, d):
+    q = lambda p: r(F.percentile("value", p))
+    return table(spark, d, "events").groupBy("event_type").agg(q(0.05).alias("q5"), q(0.5).alias("q50"), q(0.95).alias("q95"), r(F.stddev_pop("value")).alias("sd_pop"), r(F.stddev_samp("value")).alias("sd_samp"))
+
+
+@query("select doc_id, coalesce(n_chars, 0)::double + coalesce(quality, 0) + coalesce(toxic, 0) as total, coalesce(quality = 1, false) or coalesce(toxic = 1, false) as any_flag, coalesce(quality = 1, false) and coalesce(toxic = 1, false) as all_flags from documents left join labels using (doc_id)")
+def row_sums_and_flags(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
+    flags = F.col("quality") == 1, F.col("toxic") == 1
+    return t.select("doc_id", C.row_sum(*[F.col(c).cast("double") for c in ("n_chars", "quality", "toxic")]).alias("total"), C.any_true(*flags).alias("any_flag"), C.all_true(*flags).alias("all_flags"))
+
+
+@query("with f as (select l_linenumber as fold, avg(l_tax) as score, count(*) as n from lineitem group by 1) select round(sum(score * n) / sum(n), 6) as weighted, round(avg(score), 6) as plain from f")
+def weighted_fold_score(spark, d):
+    f = table(spark, d, "lineitem").groupBy("l_linenumber").agg(F.avg("l_tax").alias("score"), F.count(F.lit(1)).alias("n"))
+    return f.agg(r(F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("weighted"), r(F.avg("score")).alias("plain"))
+
+
+@query("select s_suppkey, round((s_acctbal - avg(s_acctbal) over ()) / (max(s_acctbal) over () - min(s_acctbal) over () + 1e-5), 6) as z from supplier")
+def range_normalise(spark, d):
+    s = table(spark, d, "supplier")
+    one = F.broadcast(s.agg(F.avg("s_acctbal").alias("m"), (F.max("s_acctbal") - F.min("s_acctbal") + 1e-5).alias("w")))  # one row
+    return s.crossJoin(one).select("s_suppkey", r((F.col("s_acctbal") - F.col("m")) / F.col("w")).alias("z"))
+
+
+@query("select p_partkey, upper(p_name) as upper_name, split_part(p_name, ' ', 1) as first_word, replace(p_brand, '#', '_') as brand, starts_with(p_type, 'E') as starts, contains(p_name, 'ring') as has, regexp_extract(p_brand, '([0-9]+)', 1) as number from part")
+def string_functions(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", F.upper("p_name").alias("upper_name"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("first_word"), F.replace("p_brand", F.lit("#"), F.lit("_")).alias("brand"), F.startswith("p_type", F.lit("E")).alias("starts"), F.contains("p_name", F.lit("ring")).alias("has"), F.regexp_extract("p_brand", "([0-9]+)", 1).alias("number"))
+
+
+@query("select p_partkey, round(ln(p_retailprice), 6) as l, round(sqrt(p_retailprice), 6) as s, round(exp(-p_size / 10.0::double), 6) as e, round_even(p_retailprice, 0) as h, round(abs(p_size - 25) ^ 1.5, 6) as w from part")
+def math_functions(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", r(F.ln("p_retailprice")).alias("l"), r(F.sqrt("p_retailprice")).alias("s"), r(F.exp(-F.col("p_size") / 10.0)).alias("e"), C.half_even(F.col("p_retailprice")).alias("h"), r(F.pow(F.abs(F.col("p_size") - 25), F.lit(1.5))).alias("w"))
+
+
+@query("select round(corr(l_quantity, l_extendedprice) ^ 2, 6) as r2, round(covar_samp(l_quantity, l_tax), 6) as cov from lineitem")
+def pearson_r2(spark, d):
+    return table(spark, d, "lineitem").agg(r(F.pow(F.corr("l_quantity", "l_extendedprice"), F.lit(2.0))).alias("r2"), r(F.covar_samp("l_quantity", "l_tax")).alias("cov"))
+
+
+@query("select event_type, min_by(event_id, (value, event_id)) as lowest, max_by(event_id, (value, -event_id)) as highest from events group by 1")
+def arg_extremes(spark, d):
+    e = table(spark, d, "events").groupBy("event_type")
+    return e.agg(F.min_by("event_id", F.struct("value", "event_id")).alias("lowest"), F.max_by("event_id", F.struct("value", (-F.col("event_id")).alias("k"))).alias("highest"))
+
+
+@query("select coalesce(event_type, 'all') as event_type, count(*) as n, round(avg(value), 6) as mean from events group by grouping sets ((event_type), ())")
+def grouping_sets(spark, d):
+    return table(spark, d, "events").rollup("event_type").agg(F.count(F.lit(1)).alias("n"), r(F.avg("value")).alias("mean")).withColumn("event_type", F.coalesce("event_type", F.lit("all")))

@@ -289,9 +289,9 @@ def learned_match(spark, d):
     from events where event_type = 'error' window w as (order by event_id rows between 50 preceding and 49 following)"""
 )
 def moving_quantiles(spark, d):
-    e = table(spark, d, "events").where("event_type = 'error'")
-    w = Window.orderBy("event_id").rowsBetween(-50, 49)
-    return e.select("event_id", r(F.percentile("value", 0.25).over(w)).alias("q25"), r(F.percentile("value", 0.5).over(w)).alias("q50"), r(F.avg("value").over(w)).alias("mean"))
+    e = table(spark, d, "events").where("event_type = 'error'").select("event_id", "value")
+    m = features.moving_quantiles(e, "event_id", "value", [0.25, 0.5], 100, block=1000)
+    return m.select("event_id", *[r(c).alias(c) for c in ("q25", "q50", "mean")])
 
 
 @query("with s as (select l_linenumber as k, var_pop(l_extendedprice) as v from lineitem group by 1), c as (select k, sum(v) over (order by k) / sum(v) over () as c from s) select min(k) as components from c where c >= 0.5")
