@@ -18,13 +18,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import boxed, unboxed
+
 #: Window, step, filters, symbols (byte and repeat bit).
 WIDTH, STEP, FILTERS, SYMBOLS = 16, 8, 16, 512
 #: Bound of the sample: rows of each class, bytes of text in all.
 ROWS, BYTES = 1200, 8 << 20
-EPOCHS, RATE, THRESHOLD = 14, 0.01, 0.3
+#: Passes over the sample at least, batches at least (small samples get more passes), learning rate, and the score from which a text counts as good.
+EPOCHS, STEPS, RATE, THRESHOLD = 14, 1000, 0.01, 0.3
 #: Bytes whose windows are computed at once.
 SLICE = 1 << 18
+#: Texts beyond it are read in parts.
+LONG = 1 << 22
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -81,12 +86,18 @@ class Model:
         return np.maximum(top + self.bias, 0), where
 
     def score(self, text: bytes) -> float:
-        """Probability of label 1. Empty texts are one window of spaces."""
-        h, _ = self.pooled(symbols(text))
+        """Probability of label 1. Empty texts are one window of spaces; long ones go in parts whose windows join without a gap."""
+        if len(text) <= LONG:
+            h, _ = self.pooled(symbols(text))
+        else:
+            h = np.zeros(FILTERS, np.float32)
+            for at in range(0, len(text), LONG):
+                lead = min(at, 1024)  # shows the word before the part
+                h = np.maximum(h, self.pooled(symbols(text[at - lead : at + LONG + WIDTH - STEP])[lead:])[0])
         return float(1 / (1 + np.exp(-(h @ self.weight + self.offset))))
 
 
-def fit(texts: list[bytes], labels: list[int], seed: int = 0, epochs: int = EPOCHS) -> Model:
+def fit(texts: list[bytes], labels: list[int], seed: int = 0, epochs: int = EPOCHS, steps: int = STEPS) -> Model:
     """Adam on batches of 32 texts; classes weigh the same. One class alone, or none, gives a model that answers with it (none: one half)."""
     m, y = Model(seed), np.array(labels, np.float32)
     if len(set(labels)) < 2:
@@ -98,7 +109,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 0, epochs: int = EPOC
     cost = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     params = [m.table, m.bias, m.weight, np.zeros(1, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
+    step, epochs = 0, max(epochs, -(-steps // -(-len(inputs) // 32)))
     for epoch in range(epochs):
         order = rng.permutation(len(inputs))
         for lo in range(0, len(order), 32):
@@ -122,6 +133,11 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 0, epochs: int = EPOC
                 b += 0.01 * (g * g - b)
                 p -= (rate * a / (np.sqrt(b) + 1e-8)).astype(np.float32)
     m.offset = params[3][0]
+    # put the threshold midway between the classes' near ends, where they are apart
+    z = np.array([m.pooled(s)[0] @ m.weight + m.offset for s in inputs])
+    low, high = np.quantile(z[y == 0], 0.98), np.quantile(z[y == 1], 0.02)
+    if low < high:
+        m.offset += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - (low + high) / 2)
     return m
 
 
@@ -177,8 +193,8 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows scored below the threshold."""
-    s = scored(docs, trained(docs, labels), out="_score")
-    return s.where(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    s = scored(boxed(docs, text=F.col("text")), trained(docs, labels), out="score")
+    return unboxed(s.where(F.col("score") >= threshold), docs.columns)
 
 
 def crc_of_id(doc_id: int) -> int:

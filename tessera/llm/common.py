@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All of a row as the struct ``_row``, and the named columns beside it: whatever names ``docs`` has, none clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unboxed(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of the box again, some of them changed."""
+    return df.select(*[(changed[c] if c in changed else F.col("_row").getField(c)).alias(c) for c in columns])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, which driver and executors share.
 

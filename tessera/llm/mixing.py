@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD
+from tessera.llm.common import WORD, boxed, unboxed
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 512
@@ -97,8 +97,8 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     """
     m = mix(docs, id_col, source_col, text_col, **how).groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("_take"))
     m = m.where("_take > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "_take")
-    keyed = docs.withColumn("_size", word_count(F.col(text_col)))
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_sz"))
+    keyed = boxed(docs, id=F.col(id_col), source=F.col(source_col), text=F.col(text_col), size=word_count(F.col(text_col)))
+    on = F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("size") == F.col("_sz"))
     # -1: a whole copy; rows equal in id, source and size share their words evenly
     part = F.col("_take") % F.col("_sz")
     takes = F.concat(
@@ -106,5 +106,5 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
         F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")),
     )
     out = keyed.join(m, on).withColumn("_copy", F.explode(takes))
-    text = F.when(F.col("_copy") < 0, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_copy")))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("_copy") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("_copy")))
+    return unboxed(out, docs.columns, **{text_col: text})

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import running_sums
+from tessera.llm.common import boxed, running_sums, unboxed
 
 
 @dataclass(frozen=True)
@@ -120,13 +120,13 @@ def with_spans(df: DataFrame, text: Column) -> DataFrame:
     return df.drop(*matches.values(), *gaps.values(), *at.values())
 
 
-def find(docs: DataFrame, text_col: str = "text", out: str = "pii_spans") -> DataFrame:
-    """``docs`` with the spans found in each whole text: kind, start, end (code points, end exclusive), score; by kind, then start.
+def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Each row as the struct ``_row``, its ``text`` (null: empty) and ``spans``: kind, start, end (code points, end exclusive), score; by kind, then start.
 
-    Null text counts as empty and has no spans; rows and other columns stay as they are.
+    Null and empty texts have no spans; repeated rows stay; names of the columns in ``_row`` don't matter.
     """
-    df = with_spans(docs.withColumn("_text_pii", F.coalesce(F.col(text_col), F.lit(""))), F.col("_text_pii"))
-    return df.withColumn(out, F.concat(*[F.col(f"_spans_{k.name}") for k in KINDS])).drop("_text_pii", *[f"_spans_{k.name}" for k in KINDS])
+    df = with_spans(boxed(docs, text=F.coalesce(F.col(text_col), F.lit(""))), F.col("text"))
+    return df.select("_row", "text", F.concat(*[F.col(f"_spans_{k.name}") for k in KINDS]).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -135,11 +135,11 @@ def joined(spans: Column) -> Column:
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, checksum of the base spans, and all spans as text, for each row."""
-    found = find(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    n = lambda k: F.size(F.filter("pii_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    base = F.filter("pii_spans", lambda s: s["kind"].isin(*BASE))
-    scores = F.array_join(F.transform("pii_spans", lambda s: F.format_number(s["score"], 2)), ",")
-    return found.select("doc_id", *[n(k) for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), scores.alias("scores"))
+    found = find(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).withColumn("doc_id", F.col("_row.doc_id"))
+    n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
+    return found.select("doc_id", *[n(k) for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -147,9 +147,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Texts without spans, null ones too, stay as they are.
     """
-    found = find(docs)
-    ordered = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.col(text_col)
+    found = find(docs, text_col)
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    text = F.col("text")
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s, x):
@@ -157,5 +157,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], piece).alias("out")))
 
     clean = F.aggregate(ordered, state, step, lambda s: F.array_join(F.concat(s["out"], F.array(F.substring(text, s["at"].cast("int") + 1, 2**31 - 1))), ""))
-    new = F.when(F.size("pii_spans") == 0, text).otherwise(clean)
-    return found.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(found, docs.columns, **{text_col: F.when(F.size("spans") == 0, F.col("_row").getField(text_col)).otherwise(clean)})

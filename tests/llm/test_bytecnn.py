@@ -26,6 +26,14 @@ def test_slices_pool_like_the_whole(monkeypatch):
     assert np.allclose(want[0], got[0]) and (want[1] == got[1]).all()
 
 
+def test_long_texts_score_like_the_whole(monkeypatch):
+    m = bytecnn.Model(2)
+    t = b" ".join(b"word%d again again" % (i % 97) for i in range(900))
+    want = m.score(t)
+    monkeypatch.setattr(bytecnn, "LONG", 2048)
+    assert abs(m.score(t) - want) < 1e-6
+
+
 def rows(n, seed):
     rng = random.Random(seed)
     out = []
