@@ -22,6 +22,8 @@ from tessera.llm import tokens
 LENGTH = 1024
 #: Documents whose open pieces one task packs; larger tables get larger groups once there are GROUPS of them.
 GROUP, GROUPS = 50_000, 20_000
+#: The same where pieces carry their ids, which a task then holds too; bytes of ids that leave the encoder at once.
+GROUP_IDS, FLUSH = 15_000, 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -65,9 +67,15 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str =
     """
     import pyarrow as pa
 
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 6 if with_ids else 5]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(types)]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=False)], names)
+
     def run(batches):
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows, held = [[], [], [], [], [], []], 0
             for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode_docs(tokenizer, tokens.texts_of(batch.column(1))), strict=True):
                 full = np.empty(len(ids) + 1, "<u4")
                 full[:-1], full[-1] = ids, tokens.END
@@ -77,9 +85,11 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str =
                     part = view[b : b + n]
                     for column, v in zip(rows, (doc, k, b, n, zlib.crc32(part), bytes(part) if with_ids else None), strict=True):
                         column.append(v)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 6 if with_ids else 5]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=False)], names[: len(types)])
+                held += len(full) * 4 * with_ids
+                if held > FLUSH:
+                    yield table(rows)
+                    rows, held = [[], [], [], [], [], []], 0
+            yield table(rows)
 
     schema = PIECES + (", ids binary" if with_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -94,19 +104,23 @@ def pack(parts: DataFrame, n_docs: int, length: int = LENGTH) -> DataFrame:
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    groups = max(1, -(-n_docs // max(GROUP, -(-n_docs // GROUPS))))
+    least = GROUP_IDS if "ids" in parts.columns else GROUP
+    groups = max(1, -(-n_docs // max(least, -(-n_docs // GROUPS))))
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        whole = pa.Table.from_batches(got)
-        order = pc.sort_indices(whole, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        whole = whole.take(order)
-        bins, offsets = sum_of_squares(whole.column("length").to_numpy(), length)
+        whole = pa.Table.from_batches(got).combine_chunks()
+        got.clear()
+        keys = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]
+        order = pc.sort_indices(whole.select([k for k, _ in keys]), sort_keys=keys)
+        bins, offsets = sum_of_squares(whole.column("length").take(order).to_numpy(), length)
         bins += TaskContext.get().partitionId() << 40
-        whole = whole.append_column("sequence_id", pa.array(bins)).append_column("offset", pa.array(offsets))
-        yield from whole.to_batches(10_000)
+        for i in range(0, len(order), 2000):  # ids are copied a part at a time
+            part = whole.take(order[i : i + 2000])
+            part = part.append_column("sequence_id", pa.array(bins[i : i + 2000])).append_column("offset", pa.array(offsets[i : i + 2000]))
+            yield from part.combine_chunks().to_batches()
 
     dealt = parts.repartition(groups, "doc_id", "piece")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
