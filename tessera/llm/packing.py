@@ -23,7 +23,7 @@ LENGTH = 1024
 #: Documents whose open pieces one task packs; larger tables get larger groups once there are GROUPS of them.
 GROUP, GROUPS = 50_000, 20_000
 #: The same where pieces carry their ids, which a task then holds too; bytes of ids that leave the encoder at once.
-GROUP_IDS, FLUSH = 15_000, 4 << 20
+GROUP_IDS, FLUSH = 4_000, 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -108,6 +108,7 @@ def pack(parts: DataFrame, n_docs: int, length: int = LENGTH) -> DataFrame:
     groups = max(1, -(-n_docs // max(least, -(-n_docs // GROUPS))))
 
     def run(batches):
+        tokens.forget()  # a worker that has tokenized before needs its memo no more
         got = [b for b in batches if b.num_rows]
         if not got:
             return

@@ -266,6 +266,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Free this worker's memos."""
+    _encoders.clear()
+
+
 def texts_of(column) -> list[bytes]:
     """An Arrow string column as bytes; null: empty."""
     import pyarrow as pa
