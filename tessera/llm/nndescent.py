@@ -3,9 +3,10 @@
 The neighbour graph starts from random hyperplane orders: along each, every vector meets those that
 stand next to it. Rounds of neighbours-of-neighbours joins then refine it: around each vector its neighbours, in
 either direction, are compared with each other, and only pairs that beat the worst entry of a list
-travel on. A list that is full of neighbours above the threshold is saturated: it may hide more.
-Components with such a list get enlarged lists: tiles of their members are compared tile by tile, and only
-counts and lists' lengths leave, so a component with a third of all rows is many even tasks. An audit
+travel on. A list that is full of neighbours above the threshold is saturated: it may hide more, in its own
+component or in another that is saturated too (a list that isn't full holds all of its links). Such components
+get enlarged lists: tiles of their members are compared tile by tile, within a component and between components
+whose tiles lie near each other, and only counts leave, so a component with a third of all rows is many even tasks. An audit
 compares a bounded sample with all vectors; further rounds run until its recall is high enough.
 
 Equal vectors are one node with a weight, so copies are never paired.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 from tessera.llm.graph import components
 
-#: Length of a neighbour list before it is enlarged, hyperplane orders of the start, vectors compared along each, members of a tile.
-NEIGHBOURS, ORDERS, LEAF, TILE = 10, 8, 32, 256
+#: Length of a neighbour list before it is enlarged, hyperplane orders of the start, vectors compared along each, members of a tile, tiles of a block.
+NEIGHBOURS, ORDERS, LEAF, TILE, BLOCK = 10, 8, 32, 256, 1024
 #: The audit's sample (never more, whatever the table's size), the recall it wants, and the rounds that may be added for it.
 AUDIT, RECALL, ROUNDS, MORE = 256, 0.97, 2, 3
 ARROW = "u long, v long, sim double"
@@ -141,14 +142,52 @@ def _with_end(batches):
     yield None
 
 
+def close_tiles(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(root, t, other, o): ordered pairs of tiles, in one component or two, that may hold a link; a tile is a pair with itself.
+
+    A tile lies in the cap around its mean. Caps whose centres are further apart than both radii and the
+    threshold's angle hold no link, so nothing is lost. Caps are compared block by block.
+    """
+    def cap(key, table):
+        import pyarrow as pa
+
+        x = _unit(table.column("e").combine_chunks())
+        c = x.sum(0) if np.linalg.norm(x.sum(0)) > 1e-9 else x[0]
+        c = c / np.linalg.norm(c)
+        return pa.table({"root": [key[0].as_py()], "t": pa.array([key[1].as_py()], pa.int32()), "c": [c.tolist()], "reach": [float(np.arccos(np.clip(x @ c, -1, 1)).max())]})
+
+    caps = written(rows.groupBy("root", "t").applyInArrow(cap, "root long, t int, c array<double>, reach double"), "caps")
+    n = max(1, -(-caps.count() // block))
+    dealt, every = caps.withColumn("at", F.pmod(F.xxhash64("root", "t"), F.lit(n)).cast("int")), F.sequence(F.lit(0), F.lit(n - 1))
+    left = dealt.select("*", F.explode(every).alias("x")).select(F.col("at").alias("a"), F.col("x").alias("b"), F.lit(0).alias("side"), "root", "t", "c", "reach")
+    right = dealt.select("*", F.explode(every).alias("x")).select(F.col("x").alias("a"), F.col("at").alias("b"), F.lit(1).alias("side"), "root", "t", "c", "reach")
+    angle = float(np.arccos(threshold)) + 1e-6  # more than rounding can take
+
+    def meet(key, table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        l, r = (table.filter(pc.equal(table.column("side"), s)).combine_chunks() for s in (0, 1))
+        if not len(l) or not len(r):
+            return pa.table({"root": pa.array([], pa.int64()), "t": pa.array([], pa.int32()), "other": pa.array([], pa.int64()), "o": pa.array([], pa.int32())})
+        x, y = (_unit(t.column("c").combine_chunks()) for t in (l, r))
+        apart = np.arccos(np.clip(x @ y.T, -1, 1))
+        i, j = np.nonzero(apart <= l.column("reach").to_numpy()[:, None] + r.column("reach").to_numpy()[None, :] + angle)
+        return pa.table({"root": l.column("root").take(i), "t": l.column("t").take(i), "other": r.column("root").take(j), "o": r.column("t").take(j)})
+
+    return written(left.unionByName(right).groupBy("a", "b").applyInArrow(meet, "root long, t int, other long, o int"), "close")
+
+
 def enlarged(nodes: DataFrame, members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
-    """(id, links): linked weight of each member of the components in ``members`` (id, root), all of their tiles compared."""
+    """(id, root, other, links): linked weight of each member of the components in ``members`` (id, root) in component ``other``, all tiles compared that may hold a link."""
     n = F.row_number().over(Window.partitionBy("root").orderBy("id")) - 1
-    placed = members.withColumn("t", F.floor(n / tile).cast("int")).withColumn("ts", F.max(F.floor(n / tile)).over(Window.partitionBy("root")).cast("int"))
-    rows = nodes.join(placed, "id").select("root", "t", "ts", "id", "e", "weight")
-    # each tile meets each tile of its component, at home as the rows that count, elsewhere as those that are counted
-    left = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("ts")))).select("root", F.col("t").alias("a"), F.col("o").alias("b"), F.lit(0).alias("side"), "id", "e", "weight")
-    right = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("ts")))).select("root", F.col("o").alias("a"), F.col("t").alias("b"), F.lit(1).alias("side"), "id", "e", "weight")
+    placed = members.withColumn("t", F.floor(n / tile).cast("int"))
+    rows = written(nodes.join(placed, "id").select("root", "t", "id", "e", "weight"), "tiles")
+    pairs = close_tiles(rows, threshold)
+    # each tile meets each tile near it, at home as the rows that count, elsewhere as those that are counted
+    names = ["root", "t", "other", "o", "side", "id", "e", "weight"]
+    left = rows.join(pairs, ["root", "t"]).withColumn("side", F.lit(0)).select(names)
+    right = rows.withColumnsRenamed({"root": "other", "t": "o"}).join(pairs, ["other", "o"]).withColumn("side", F.lit(1)).select(names)
 
     def meet(key, table):
         import pyarrow as pa
@@ -157,9 +196,12 @@ def enlarged(nodes: DataFrame, members: DataFrame, threshold: float, tile: int =
         l, r = (table.filter(pc.equal(table.column("side"), s)).combine_chunks() for s in (0, 1))
         x, y = (_unit(t.column("e").combine_chunks()) for t in (l, r))
         near = (x @ y.T >= threshold) & (l.column("id").to_numpy()[:, None] != r.column("id").to_numpy()[None, :])
-        return pa.table({"id": l.column("id").combine_chunks(), "links": pa.array(near @ r.column("weight").to_numpy())})
+        links = near @ r.column("weight").to_numpy()
+        i = np.flatnonzero(links)
+        return pa.table({"id": l.column("id").take(i), "root": l.column("root").take(i), "other": pa.array(np.full(len(i), key[2].as_py(), np.int64)), "links": pa.array(links[i])})
 
-    return left.unionByName(right).groupBy("root", "a", "b").applyInArrow(meet, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    met = left.unionByName(right).groupBy("root", "t", "other", "o").applyInArrow(meet, "id long, root long, other long, links long")
+    return met.groupBy("id", "root", "other").agg(F.sum("links").alias("links"))
 
 
 def audit(nodes: DataFrame, found: DataFrame, threshold: float, size: int) -> float:
@@ -204,7 +246,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         full = near.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k).select(F.col("u").alias("node"))
         large = roots.join(full, "node").select("root").distinct()
         members = roots.join(large, "root").select(F.col("node").alias("id"), "root")
-        counted = enlarged(nodes, members, threshold)
+        met = written(enlarged(nodes, members, threshold), "met")
+        counted = met.groupBy("id").agg(F.sum("links").alias("links"))
+        # a full list can be filled by its own group: links between such components join them
+        joined = components(met.where("root <> other").select(F.col("root").alias("a"), F.col("other").alias("b")).distinct()).toDF("root", "top")
+        roots = written(roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
         listed = both.join(nodes.select(F.col("id").alias("v"), "weight"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("weight").alias("links"))
         links = written(listed.join(members.select("id"), "id", "left_anti").unionByName(counted), "links")
         recall = audit(nodes, links, threshold, AUDIT)

@@ -44,6 +44,21 @@ def test_near_duplicates(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got) and got[0].audit_recall == 1.0
 
 
+def test_tight_groups_near_each_other(spark, monkeypatch):
+    """Lists that fill with their own group hide the links to the group beside it."""
+    monkeypatch.setattr(nndescent, "TILE", 16)
+    rng = np.random.default_rng(4)
+    axes = np.eye(16)
+    centres = [axes[0], axes[0] * 0.96 + axes[1] * 0.28, axes[0] * 0.6 + axes[2] * 0.8, axes[5]]
+    x = np.concatenate([c + rng.standard_normal((20, 16)) * 0.001 for c in centres])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, x[25].tolist()) for i in range(3)]
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    n, comp = brute(rows)
+    assert {comp[0], comp[20], comp[40], comp[60]} == {0, 40, 60}
+    assert {r.vec_id: r.n_links for r in got} == n
+    assert {r.vec_id: r.component_id for r in got} == comp and {r.vec_id for r in got if r.kept} == {0, 40, 60}
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nndescent.near_duplicates(df).count() == 0
