@@ -4,7 +4,8 @@ Native: DataFrame functions only. A kind's matches come from ``regexp_extract_al
 text by the same pattern gives the gaps between them, so running sums of both lengths are the
 positions, in code points. The patterns are possessive forms of the plain ones and start only where
 a run of their characters starts (or where the last match ended): they find the same matches, but
-cannot backtrack or recurse over long runs.
+cannot backtrack or recurse over long runs. An IBAN's pattern finds only its head: what follows may be a
+word or a number of the text, so each end at a word boundary is tried and the checksum decides.
 """
 
 from __future__ import annotations
@@ -36,12 +37,14 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, 0.7, ("ip", "host", "server", "address")),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.3, 0.8, ("card", "visa", "credit", "payment", "pay")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, 0.7, ("phone", "tel", "call", "mobile", "fax")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", 0.3, 0.9, ("iban", "account", "bank", "transfer"), 0.5),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", "", 0.3, 0.9, ("iban", "account", "bank", "transfer"), 0.5),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, 0.3, ("ssn", "social", "security"), 0.5),
 )
 BASE = ("email", "ip", "card", "phone")
 #: What a context word within this many code points before a span adds to its score.
 NEAR, BONUS = 40, 0.3
+#: Code points of the longest IBAN with a space before each character after its head, and one more.
+WINDOW = 65
 
 
 def luhn(digits: Column) -> Column:
@@ -65,6 +68,46 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
+#: Characters of an IBAN by country, as registered. Other countries' may have any length from 15 to 34.
+LENGTHS = {
+    n: codes.split()
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+
+
+def iban(window: Column) -> Column:
+    """The IBAN that ``window`` starts with, else an empty string: of the ends that the checksum confirms, the country's own, or else the last."""
+    run = F.regexp_extract(window, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", 0)
+    country = F.substring(window, 1, 2)
+    own = F.lit(0)
+    for n, codes in LENGTHS.items():
+        own = F.when(country.isin(codes), n).otherwise(own)
+
+    def end(p: Column) -> Column:
+        bare = F.replace(F.substring(run, F.lit(1), p), F.lit(" "), F.lit(""))
+        return F.struct((F.length(bare) == own).alias("own"), p.alias("p"))
+
+    def fits(p: Column) -> Column:
+        whole = ~F.substring(run, p, F.lit(1)).eqNullSafe(" ") & ~F.substring(window, p + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+        bare = F.replace(F.substring(run, F.lit(1), p), F.lit(" "), F.lit(""))
+        return F.when(whole & (F.length(bare) >= 15), mod97(bare)).otherwise(F.lit(False))
+
+    ends = F.transform(F.filter(F.sequence(F.lit(15), F.length(run)), fits), end)
+    return F.when(F.length(run) >= 15, F.coalesce(F.substring(run, F.lit(1), F.array_max(ends)["p"]), F.lit(""))).otherwise(F.lit(""))
+
+
+def apart(spans: Column) -> Column:
+    """``spans``, in order of their starts, without those that begin inside one that stays."""
+    def add(s, x):
+        return F.when((F.size(s) > 0) & (x["start"] < F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(0))), s).otherwise(F.concat(s, F.array(x)))
+
+    return F.aggregate(spans, F.array().cast(SPANS), add)
+
+
 def confirmed(kind: str, m: Column) -> Column:
     """Whether a match passes its kind's validator."""
     digits = F.regexp_replace(m, "[^0-9]", "")
@@ -77,8 +120,7 @@ def confirmed(kind: str, m: Column) -> Column:
     if kind == "phone":
         return (n >= 9) & (n <= 15)
     if kind == "iban":
-        bare = F.replace(m, F.lit(" "), F.lit(""))
-        return F.when((F.length(bare) >= 15) & (F.length(bare) <= 34), mod97(bare)).otherwise(F.lit(False))
+        return F.length(m) > 0
     if kind == "ssn":
         return ~F.substring(m, 1, 3).isin("000", "666") & (F.substring(m, 1, 1) != "9") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000")
     return F.lit(True)
@@ -107,6 +149,8 @@ def with_spans(df: DataFrame, text: Column) -> DataFrame:
 
         def scored(m: Column, i: Column) -> Column:
             start = F.element_at(at[k], (i * 2 + 2).cast("int"))
+            if k.name == "iban":
+                m = iban(F.substring(text, (start + 1).cast("int"), F.lit(WINDOW)))
             before = F.substring(text, F.greatest(start - NEAR, F.lit(0)).cast("int") + 1, F.least(start, F.lit(NEAR)).cast("int"))
             near = before.rlike(rf"(?i)(?<![a-z])(?:{words})")
             score = F.lit(k.confirmed) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0))
@@ -114,6 +158,7 @@ def with_spans(df: DataFrame, text: Column) -> DataFrame:
 
         found = F.filter(F.transform(matches[k], scored), lambda s: s["ok"] & (s["score"] >= k.threshold))
         bare = F.transform(found, lambda s: F.struct(*[s[x].alias(x) for x in ("kind", "start", "end", "score")]))
+        bare = apart(bare) if k.name == "iban" else bare
         return F.when(F.size(matches[k]) > 0, bare).otherwise(F.array().cast(SPANS))
 
     df = df.withColumns({f"_spans_{k.name}": spans(k) for k in KINDS})

@@ -54,6 +54,18 @@ def test_pii_equals_plain_patterns(spark):
         assert [s for s in got[i].spans.split(",") if s.split(":")[0] in PLAIN] == want
 
 
+def test_ibans_beside_words_and_numbers(spark):
+    """An IBAN ends where its checksum says, whatever capital or digit comes next."""
+    de, gb, xx = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "ZZ33 1234 5678 9012 345"
+    texts = [f"{de} Please", "IBAN DE89 3704 0044 0532 0130 00 Thank you", "GB82WEST12345698765432 42 euros", f"{de} {gb} A", f"{gb} {de}", f"{de}X", f"x{de}", f"é {de}, 5", f"{de} I PAY 12 AB34", f"{de} " + "A " * 40, f"{xx} Or", "NO93 8601 1117 947 NO9386011117947"]
+    want = ["0:22", "5:32", "0:22", "0:22,23:50", "0:27,28:50", "", "", "2:24", "0:22", "0:22", "0:23", "0:18,19:34"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(docs).collect()}
+    assert [",".join(s[5:] for s in got[i].split(",") if s.startswith("iban")) for i in range(len(texts))] == want
+    clean = {r.doc_id: r.text for r in pii.redact(docs.where("doc_id < 3")).collect()}
+    assert clean == {0: "[IBAN] Please", 1: "IBAN [IBAN] Thank you", 2: "[IBAN] 42 euros"}
+
+
 def test_pii_checksums_and_context(spark):
     rows = [(0, "iban GB82 WEST 1234 5698 7654 32 ok"), (1, "iban GB83 WEST 1234 5698 7654 32"), (2, "my ssn is 123-45-6789"), (3, "code 123-45-6789")]
     got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
