@@ -3,8 +3,10 @@
 A byte-pair tokenizer first cuts the text into pre-tokens and encodes each on its own. Both files
 used here never join what stands on two sides of a lone space between non-spaces, so texts are cut
 there, and each distinct chunk goes to the library's model once while a worker remembers it. Chunks
-are found, hashed (64 bits and the length) and looked up by array operations, not one by one. The ids are
-those of encoding the whole text; tests compare them.
+are found, hashed and looked up by array operations, not one by one. A hash only proposes an entry: its
+bytes are compared with the chunk's, and a chunk that differs goes to the library. The ids are
+those of encoding the whole text by the library with its defaults (a special token's name in a text is that
+token); tests compare them.
 """
 
 from __future__ import annotations
@@ -47,7 +49,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their names in a text are ordinary text
+        if self.library.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept in 16 bits")
+        special = {t.content.encode(): i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special = special
+        self._special = re.compile(b"|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self.drops_space = self.library.normalizer is not None
         self.memo = memo
         self.pieces: dict[bytes, list[int]] = {}  # of single marks
@@ -61,6 +67,20 @@ class Encoder:
         self.begin, self.length, self.seen = (np.zeros(1024, np.int32) for _ in range(3))
         self.hashes, self.known = np.zeros(1024, np.uint64), 0
         self.flat, self.used = np.zeros(4096, np.uint16), 0
+        # each entry's chunk: 1 if it was a text's first, then its bytes
+        self.text, self.text_used = np.zeros(16384, np.uint8), 0
+        self.text_at, self.text_size = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+
+    def has_special(self, text: bytes) -> bool:
+        return self._special is not None and self._special.search(text) is not None
+
+    def parts(self, text: bytes) -> list[bytes | int]:
+        """The text cut at names of special tokens, which are ids here."""
+        out, at = [], 0
+        for m in self._special.finditer(text) if self._special else ():
+            out += [text[at : m.start()], self.special[m.group()]]
+            at = m.end()
+        return [*out, text[at:]]
 
     # -- cutting -----------------------------------------------------------
     def _cut(self, buf: np.ndarray, doc_at: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,12 +177,20 @@ class Encoder:
             lost = self.keys[slot] != h
             h, numbers, slot = h[lost], numbers[lost], (slot[lost] + 1) & (self.size - 1)
 
-    def _store(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def _store(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray, text_sizes: np.ndarray, text: np.ndarray) -> None:
         n, k = self.known, len(h)
         while n + k > len(self.begin):
-            self.begin, self.length, self.seen, self.hashes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.length, self.seen, self.hashes))
+            self.begin, self.length, self.seen, self.hashes, self.text_at, self.text_size = (
+                np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.length, self.seen, self.hashes, self.text_at, self.text_size)
+            )
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.text_used + len(text) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.text_used : self.text_used + len(text)] = text
+        self.text_at[n : n + k] = self.text_used + np.cumsum(text_sizes) - text_sizes
+        self.text_size[n : n + k] = text_sizes
+        self.text_used += len(text)
         self.flat[self.used : self.used + len(ids)] = ids
         self.begin[n : n + k] = self.used + np.cumsum(sizes) - sizes
         self.length[n : n + k], self.hashes[n : n + k] = sizes, h
@@ -172,23 +200,49 @@ class Encoder:
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of these entries, ends of each)."""
         sizes = self.length[at]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        where = np.repeat((self.begin[at] - (ends - sizes)).astype(np.int32), sizes)
-        where += np.arange(len(where), dtype=np.int32)
-        return self.flat[where], ends
+        return self.flat[_places(self.begin[at], sizes)], np.cumsum(sizes, dtype=np.int64)
 
     def _trim(self, more: int) -> None:
         """Make room: keep what was seen again since it was learnt, or nothing if that is most."""
         again = np.flatnonzero(self.seen[: self.known] > 1)
         if len(again) + more > self.memo:
             again = again[:0]
-        h, sizes = self.hashes[again], self.length[again].astype(np.int64)
+        h, sizes, text_sizes = self.hashes[again], self.length[again].astype(np.int64), self.text_size[again].astype(np.int64)
         ids, _ = self._gather(again)
+        text = self.text[_places(self.text_at[again], text_sizes)]
         self._reset()
-        self._store(h, sizes, ids)
+        self._store(h, sizes, ids, text_sizes, text)
+
+    def _differs(self, at: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Numbers of the chunks that are not the text of the entries which their hashes found."""
+        sizes = ends - starts
+        wrong = (self.text_size[at] != sizes + 1) | (self.text[self.text_at[at]] != first)
+        if wrong.any():
+            same = np.flatnonzero(~wrong)
+            at, starts, sizes = at[same], starts[same], sizes[same]
+        else:
+            same = None
+        if len(at):
+            unlike = self.text[_places(self.text_at[at] + 1, sizes)] != buf[_places(starts, sizes)]
+            if unlike.any():
+                bad = np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(unlike), "right"))
+                wrong[bad if same is None else same[bad]] = True
+        return np.flatnonzero(wrong)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids in one uint16 array, number of ids of each text)."""
+        """(all ids in one uint16 array, number of ids of each text).
+
+        Names of special tokens in a text are those tokens, as the library takes them; what lies between is encoded on its own.
+        """
+        if not any(map(self.has_special, texts)):
+            return self._encode(texts)
+        plan = [self.parts(t) for t in texts]
+        ids, counts = self._encode([p for x in plan for p in x if isinstance(p, bytes)])
+        plain = iter(np.split(ids, np.cumsum(counts)[:-1]))
+        whole = [np.concatenate([next(plain) if isinstance(p, bytes) else np.array([p], np.uint16) for p in x]) for x in plan]
+        return np.concatenate(whole), np.fromiter(map(len, whole), np.int64, len(whole))
+
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not self.drops_space and any(map(_WIDE.search, texts)):  # rare white space that bytes alone don't show
             got = [np.array(self.library.encode(t.decode(), add_special_tokens=False).ids, np.uint16) for t in texts]
             return np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
@@ -213,15 +267,24 @@ class Encoder:
                 miss = np.flatnonzero(at < 0)
                 new, where = np.unique(h[miss], return_index=True)
             where = miss[where]
-            got = self._learn([joined[b:e] for b, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], first[where].tolist())
+            chunks = [joined[b:e] for b, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+            got = self._learn(chunks, first[where].tolist())
             counts = np.fromiter(map(len, got), np.int64, len(got))
             self._make_room(len(new))
-            self._store(new, counts, np.fromiter((i for x in got for i in x), np.uint16, int(counts.sum())))
+            text = np.frombuffer(b"".join(b"\1" + c if f else b"\0" + c for c, f in zip(chunks, first[where].tolist(), strict=True)), np.uint8)
+            self._store(new, counts, np.fromiter((i for x in got for i in x), np.uint16, int(counts.sum())), ends[where] - starts[where] + 1, text)
             at[miss] = self._find(h[miss])
         self.seen[: self.known] += np.bincount(at, minlength=self.known).astype(np.int32)
         ids, upto = self._gather(at)
+        wrong = self._differs(at, buf, starts, ends, first)
+        if len(wrong):  # hashes met: these chunks go to the library and stay out of the memo
+            own = self._learn([joined[b:e] for b, e in zip(starts[wrong].tolist(), ends[wrong].tolist(), strict=True)], first[wrong].tolist())
+            parts = np.split(ids, upto[:-1])
+            for i, x in zip(wrong.tolist(), own, strict=True):
+                parts[i] = np.array(x, np.uint16)
+            ids, upto = np.concatenate(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         bounds = np.concatenate([[0], upto])[np.searchsorted(starts, doc_end)]
-        if self.known > 2 * self.memo or self.used > 16 * self.memo:  # one batch alone was larger
+        if self.known > 2 * self.memo or max(self.used, self.text_used) > 16 * self.memo:  # one batch alone was larger
             self._reset()
         return ids, np.diff(bounds, prepend=0)
 
@@ -234,16 +297,27 @@ class Encoder:
             self._insert(self.hashes[: self.known], np.arange(self.known, dtype=np.int32))
 
 
+def _places(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """at[i], at[i] + 1, .. for sizes[i] steps of each i, one after another."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    where = np.repeat((at - (ends - sizes)).astype(np.int32), sizes)
+    where += np.arange(len(where), dtype=np.int32)
+    return where
+
+
 def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each chunk, its length and whether it is a text's first; never 0.
 
-    Differences of running sums over bytes, each weighted by its place in the chunk (places go round after 4096).
+    Differences of running sums over bytes, each weighted by its place in the chunk.
     """
     place = np.arange(len(buf), dtype=np.int32)
     place -= np.repeat(np.r_[0, starts].astype(np.int32), np.diff(np.r_[0, starts, len(buf)]))
+    turn = (place >> 12).astype(np.uint64) if len(buf) > 4096 and place.max() > 4095 else None
     place &= 4095
     total = np.zeros(len(buf) + 1, np.uint64)
     mixed = _WEIGHT[place]
+    if turn is not None:
+        mixed += (mixed >> np.uint64(32)) * turn * np.uint64(0x9E3779B97F4A7C15)
     mixed *= buf
     np.cumsum(mixed, out=total[1:])
     h = total[ends] - total[starts]

@@ -17,7 +17,6 @@ ODD = ["", " ", "  ", "a  b   c", "a \n b", " lead", "trail ", "trail  ", "a\n\n
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -41,6 +40,33 @@ def test_ids_equal_the_library(path, memo):
         assert got == want
 
 
+def solid(seed=5):
+    """Texts without lone spaces: blocks of 4096 bytes that change places, and long runs."""
+    rng = random.Random(seed)
+    a, b = "ab" * 2048, "qzx1" * 1024
+    run = "".join(rng.choice("abcXYZ0189/+=.%-_é日") for _ in range(9000))
+    return [a + b, b + a, a + b + a, a + a + b, run, run[4096:8192] + run[:4096] + run[8192:], "https://x.y/" + run, "日本語テキスト" * 900, "x" * 20_000, "a\n" * 4000]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_texts_without_spaces_and_special_tokens(path):
+    special = ["<|endoftext|>", "a<|endoftext|>", " <|endoftext|> b", "<|startoftext|>x <|endoftext|><|endoftext|>", "<|EndOfText|> c", "<|endoftext |>", "<|endoftext|>  "]
+    all_texts = solid() + special + [s + t for s in special for t in ODD[:6]]
+    ids, k = tokens.Encoder(path).encode([t.encode() for t in all_texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(k)[:-1])] == library(path)(all_texts)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_chunks_whose_hashes_meet(path, monkeypatch):
+    """Whatever the hash finds, ids are the text's own."""
+    real = tokens._hashes
+    monkeypatch.setattr(tokens, "_hashes", lambda *a: real(*a) % np.uint64(50) + np.uint64(1))
+    e, all_texts = tokens.Encoder(path, 30), texts(80, 9)
+    for i in range(0, len(all_texts), 20):
+        ids, k = e.encode([t.encode() for t in all_texts[i : i + 20]])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(k)[:-1])] == library(path)(all_texts[i : i + 20])
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_long_texts_are_joined_again(path, monkeypatch):
     monkeypatch.setattr(tokens, "SLICE", 200)
