@@ -138,6 +138,23 @@ def test_packed_documents(spark):
     assert packing.packed(frame(spark, []), BYTE).count() == 0
 
 
+def test_many_groups_in_few_tasks(spark, monkeypatch):
+    """Groups stream through a task one after another; copies of one document are spread over groups."""
+    monkeypatch.setattr(packing, "TASKS", 2)
+    rows = [(i, "some words of text " * (1 + i % 60)) for i in range(150)] + [(7, "hot " * 700)] * 100
+    docs = frame(spark, rows).repartition(6)
+    got = packing.packed(docs, BYTE, group=10_000).collect()
+    total = sum(octets for octets in (len(t) for _, t in rows))
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length, r.doc_id))
+    for s in by.values():
+        s.sort()
+        assert [o for o, _, _ in s] == np.cumsum([0] + [n for _, n, _ in s])[:-1].tolist() and s[-1][0] + s[-1][1] <= 1024
+    assert len({s >> 40 for s in by}) > 5 and total > 50_000 and len({r.sequence_id >> 40 for r in got if r.doc_id == 7}) > 3
+    assert len(got) == sum(-(-len(x) // 1024) for x in ([*i, 2] for i in library(BYTE)([t for _, t in rows])))
+
+
 def test_shard_lookup():
     file, w_docs = io.BytesIO(), {}
     w = sstable.Writer(file)
