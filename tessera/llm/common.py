@@ -70,22 +70,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def running_sums(arr: Column, block: int = 256) -> Column:
-    """Exclusive running sums of an int array, in two levels so that long arrays don't cost the square of their length."""
+def with_running(df: DataFrame, arrays: dict[str, Column], step, block: int = 64) -> DataFrame:
+    """``df`` with, for each element of arrays of longs, what ``step`` makes of all before it, from 0 on.
+
+    ``step(state, x)`` must also join two states (sum, maximum). Long arrays go in three levels of blocks, so that
+    the cost grows with the length and not with its square; each level is a column, so that none is computed twice.
+    """
     zero, empty = F.lit(0).cast("long"), F.array().cast("array<long>")
 
     def scan(a: Column, first: Column) -> Column:
-        return F.aggregate(
-            a,
-            F.struct(first.alias("at"), empty.alias("out")),
-            lambda s, x: F.struct((s["at"] + x.cast("long")).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
-            lambda s: s["out"],
-        )
-
-    def blocked(a: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(a), F.lit(block))
-        totals = F.transform(starts, lambda i: F.aggregate(F.slice(a, i, F.lit(block)), zero, lambda s, x: s + x.cast("long")))
-        pairs = F.arrays_zip(starts.alias("i"), scan(totals, zero).alias("at"))
-        return F.flatten(F.transform(pairs, lambda p: scan(F.slice(a, p["i"], F.lit(block)), p["at"])))
-
-    return F.when(F.size(arr) == 0, empty).when(F.size(arr) <= block, scan(arr, zero)).otherwise(blocked(arr))
+        start = F.struct(first.alias("at"), empty.alias("out"))
+        return F.aggregate(a, start, lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    def cut(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(a), F.lit(block)), lambda i: F.slice(a, i, F.lit(block)))
+
+    levels = {n: [f"_{n}_{x}" for x in ("array", "blocks", "totals", "outer", "sums", "firsts")] for n in arrays}
+    add = lambda of: {levels[n][of[0]]: of[1](*[F.col(c) for c in levels[n]]) for n in arrays}
+    df = df.withColumns({levels[n][0]: arrays[n] for n in arrays})
+    df = df.withColumns(add((1, lambda a, *_: F.when(F.size(a) > block, cut(a)))))
+    df = df.withColumns(add((2, lambda a, b, *_: F.transform(b, lambda x: F.aggregate(x, zero, step)))))
+    df = df.withColumns(add((3, lambda a, b, t, *_: F.when(t.isNotNull(), cut(t)))))
+    df = df.withColumns(add((4, lambda a, b, t, o, *_: scan(F.transform(o, lambda x: F.aggregate(x, zero, step)), zero))))
+    df = df.withColumns(add((5, lambda a, b, t, o, s, _: F.flatten(F.zip_with(o, s, scan)))))
+    df = df.withColumns({n: F.when(F.size(v[0]) > block, F.flatten(F.zip_with(v[1], v[5], scan))).otherwise(scan(F.col(v[0]), zero)) for n, v in levels.items()})
+    return df.drop(*[c for v in levels.values() for c in v])

@@ -6,6 +6,9 @@ positions, in code points. The patterns are possessive forms of the plain ones a
 a run of their characters starts (or where the last match ended): they find the same matches, but
 cannot backtrack or recurse over long runs. An IBAN's pattern finds only its head: what follows may be a
 word or a number of the text, so each end at a word boundary is tried and the checksum decides.
+
+What stands around a match is read from the text's blocks (``BLOCK`` code points each), never by walking the text
+from its start, so a text's cost grows with its length whatever the number of its matches.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import boxed, running_sums, unboxed
+from tessera.llm.common import boxed, unboxed, with_running
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,21 @@ BASE = ("email", "ip", "card", "phone")
 NEAR, BONUS = 40, 0.3
 #: Code points of the longest IBAN with a space before each character after its head, and one more.
 WINDOW = 65
+#: Code points of a block of a long text.
+BLOCK = 2048
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of ``BLOCK`` code points."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` (from 0) to ``end`` (exclusive) of the text in ``blocks``; what lies beyond the text is left out."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((end - 1) / BLOCK).cast("int")
+    whole = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.substring(whole, (start - first * BLOCK + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
 
 
 def luhn(digits: Column) -> Column:
@@ -100,12 +118,16 @@ def iban(window: Column) -> Column:
     return F.when(F.length(run) >= 15, F.coalesce(F.substring(run, F.lit(1), F.array_max(ends)["p"]), F.lit(""))).otherwise(F.lit(""))
 
 
-def apart(spans: Column) -> Column:
-    """``spans``, in order of their starts, without those that begin inside one that stays."""
-    def add(s, x):
-        return F.when((F.size(s) > 0) & (x["start"] < F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(0))), s).otherwise(F.concat(s, F.array(x)))
+def reached(df: DataFrame, out: str, spans: str) -> DataFrame:
+    """``df`` with, for each of the column ``spans``, the largest end of those before it (0 for the first)."""
+    return with_running(df, {out: F.transform(spans, lambda x: x["end"])}, lambda a, b: F.greatest(a, b))
+
 
-    return F.aggregate(spans, F.array().cast(SPANS), add)
+def apart(df: DataFrame, spans: str) -> DataFrame:
+    """``df`` with the column ``spans``, in order of their starts, without those that lie inside what the ones before them reach."""
+    pairs = F.arrays_zip(F.col(spans).alias("s"), F.col("_reach").alias("e"))
+    own = F.transform(F.filter(pairs, lambda p: p["s"]["end"] > p["e"]), lambda p: p["s"])
+    return reached(df, "_reach", spans).withColumn(spans, F.when(F.size(spans) > 1, own).otherwise(F.col(spans))).drop("_reach")
 
 
 def confirmed(kind: str, m: Column) -> Column:
@@ -140,9 +162,11 @@ def with_spans(df: DataFrame, text: Column) -> DataFrame:
     def steps(k: Kind) -> Column:
         """Lengths of gap 0, match 0, gap 1, match 1, .."""
         pairs = F.zip_with(gaps[k], matches[k], lambda g, m: F.array(F.length(g), F.coalesce(F.length(m), F.lit(0))))
-        return running_sums(F.flatten(pairs))
+        return F.transform(F.flatten(pairs), lambda n: n.cast("long"))
 
-    df = df.withColumns({at[k]: steps(k) for k in KINDS})
+    some = F.greatest(*[F.size(matches[k]) for k in KINDS]) > 0
+    df = with_running(df, {at[k]: steps(k) for k in KINDS}, lambda s, x: s + x).withColumn("_blocks", F.when(some, blocks_of(text)).otherwise(none))
+    blocks = F.col("_blocks")
 
     def spans(k: Kind) -> Column:
         words = "|".join(k.context)
@@ -150,19 +174,19 @@ def with_spans(df: DataFrame, text: Column) -> DataFrame:
         def scored(m: Column, i: Column) -> Column:
             start = F.element_at(at[k], (i * 2 + 2).cast("int"))
             if k.name == "iban":
-                m = iban(F.substring(text, (start + 1).cast("int"), F.lit(WINDOW)))
-            before = F.substring(text, F.greatest(start - NEAR, F.lit(0)).cast("int") + 1, F.least(start, F.lit(NEAR)).cast("int"))
+                m = iban(piece(blocks, start, start + WINDOW))
+            before = piece(blocks, F.greatest(start - NEAR, F.lit(0)), start)
             near = before.rlike(rf"(?i)(?<![a-z])(?:{words})")
             score = F.lit(k.confirmed) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0))
             return F.struct(F.lit(k.name).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), F.least(score, F.lit(1.0)).alias("score"), confirmed(k.name, m).alias("ok"))
 
         found = F.filter(F.transform(matches[k], scored), lambda s: s["ok"] & (s["score"] >= k.threshold))
         bare = F.transform(found, lambda s: F.struct(*[s[x].alias(x) for x in ("kind", "start", "end", "score")]))
-        bare = apart(bare) if k.name == "iban" else bare
         return F.when(F.size(matches[k]) > 0, bare).otherwise(F.array().cast(SPANS))
 
     df = df.withColumns({f"_spans_{k.name}": spans(k) for k in KINDS})
-    return df.drop(*matches.values(), *gaps.values(), *at.values())
+    df = apart(df, "_spans_iban")
+    return df.drop("_blocks", *matches.values(), *gaps.values(), *at.values())
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -194,12 +218,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     found = find(docs, text_col)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.col("text")
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s, x):
-        piece = F.array(F.substring(text, s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        return F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], piece).alias("out")))
-
-    clean = F.aggregate(ordered, state, step, lambda s: F.array_join(F.concat(s["out"], F.array(F.substring(text, s["at"].cast("int") + 1, 2**31 - 1))), ""))
+    # a span that begins before the reach of those before it adds nothing but its own reach
+    heads = F.filter(F.arrays_zip(F.col("_ordered").alias("s"), F.col("_reach").alias("e")), lambda p: p["s"]["start"] >= p["e"])
+    lead = lambda p: F.concat(piece(F.col("_blocks"), p["e"], p["s"]["start"]), F.lit("["), F.upper(p["s"]["kind"]), F.lit("]"))
+    last = F.array_max(F.transform("_ordered", lambda s: s["end"]))
+    clean = F.concat(F.array_join(F.transform("_heads", lead), ""), piece(F.col("_blocks"), last, F.greatest(last, F.length("text").cast("long"))))
+    found = found.withColumns({"_ordered": ordered, "_blocks": F.when(F.size("spans") > 0, blocks_of(F.col("text")))})
+    found = reached(found, "_reach", "_ordered").withColumn("_heads", heads)
     return unboxed(found, docs.columns, **{text_col: F.when(F.size("spans") == 0, F.col("_row").getField(text_col)).otherwise(clean)})

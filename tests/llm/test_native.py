@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -54,6 +55,29 @@ def test_pii_equals_plain_patterns(spark):
         assert [s for s in got[i].spans.split(",") if s.split(":")[0] in PLAIN] == want
 
 
+def test_a_text_with_very_many_matches(spark):
+    """Positions, context and redaction over many blocks; the cost grows with the text."""
+    rng = random.Random(6)
+    parts = [rng.choice(["aa@bb.cc ", "日本 ", "call +49 (30) 1234567, ", "x ", "10.0.0.1 ", "DE89370400440532013000 ", "é" * 50 + " "]) for _ in range(12_000)]
+    text = "".join(parts)
+    at, want = 0, {"email": [], "ip": [], "phone": []}
+    for p in parts:
+        for kind, m in (("email", "aa@bb.cc"), ("ip", "10.0.0.1"), ("phone", "+49 (30) 1234567")):
+            if m in p:
+                want[kind].append((at + p.index(m), at + p.index(m) + len(m)))
+        at += len(p)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = pii.digest(docs).collect()[0]
+    spans = [x.split(":") for x in got.spans.split(",")]
+    for kind, places in want.items():
+        assert [(int(b), int(e)) for k, b, e in spans if k == kind] == places
+    assert sum(k == "iban" for k, *_ in spans) == text.count("DE89")
+    clean = pii.redact(docs).collect()[0].text
+    assert clean == "".join(p.replace("aa@bb.cc", "[EMAIL]").replace("+49 (30) 1234567", "[PHONE]").replace("10.0.0.1", "[IP]").replace("DE89370400440532013000", "[IBAN]") for p in parts)
+    assert time.time() - began < 60
+
+
 def test_ibans_beside_words_and_numbers(spark):
     """An IBAN ends where its checksum says, whatever capital or digit comes next."""
     de, gb, xx = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "ZZ33 1234 5678 9012 345"
