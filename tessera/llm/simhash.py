@@ -7,6 +7,12 @@ distance confirms them. Equal fingerprints are one node, so copies are never pai
 A key that many fingerprints share is not compared all against all: its members go through the same
 cut again on the bits that they need not agree in yet (halves of 16, then of 8 bits), until the groups are small.
 With all three cuts made, fewer than 2**12 distinct fingerprints can share a key.
+
+``similar`` links texts by the similarity of their sets of shingles. Fingerprints of 128 bits are cut into seven
+segments, each indexed once for each of its bits, with that bit left out: texts of similarity 0.8 agree up to one bit in some
+segment with probability 0.82, of 0.9 with 0.98, of 0.95 with 0.999. Equal keys propose pairs, the whole distance keeps those that can be similar
+enough, and the sets themselves decide. Within a key every text is compared with the key's leaders (texts that had no leader near
+them), so copies make rows, not pairs; a segment's value that many texts have is dealt out over several tasks, whose leaders then meet.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import boxed, unboxed, written
 from tessera.llm.graph import components
 
 BITS = 64
@@ -202,8 +208,232 @@ def digest(docs: DataFrame, **how) -> DataFrame:
     return groups(docs, **how).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+#: Fingerprint words, segments, and bits of a segment for texts linked by similarity.
+LANES, SEGMENTS, WIDTH = 2, 7, 18
+#: Words of a shingle and least similarity of two sets of shingles, unless a caller says otherwise.
+WORDS, SIMILAR = 5, 0.8
+#: Texts that one value of a segment may bring to one task.
+HOT = 20_000
+
+
+def shingles(text: bytes, shingle: int = WORDS) -> np.ndarray:
+    """Distinct XXH64 (seed 42) of the lower-cased shingles, sorted; fewer words: the whole sequence; none: empty."""
+    from xxhash import xxh64_intdigest
+
+    parts, carried, some = [], [], False
+    for words in _slices(text.lower()):
+        words = carried + words
+        carried = words
+        if len(words) >= shingle:
+            line = b" ".join(words)
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            starts = np.cumsum(lengths + 1) - lengths - 1
+            ends = starts[shingle - 1 :] + lengths[shingle - 1 :]
+            parts.append(np.array([xxh64_intdigest(line[b:e], 42) for b, e in zip(starts.tolist(), ends.tolist())], np.uint64))  # noqa: B905
+            carried, some = words[len(words) - shingle + 1 :] if shingle > 1 else [], True
+    if not some and carried:
+        parts.append(np.array([xxh64_intdigest(b" ".join(carried), 42)], np.uint64))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def signature(hashes: np.ndarray, lanes: int = LANES) -> list[int]:
+    """Signed 64-bit words of a set's fingerprint: a bit is 1 if it is set in over half of the members' mixed hashes."""
+    out = []
+    for lane in range(lanes):
+        h = hashes + np.uint64((lane * 0x9E3779B97F4A7C15) % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = 2 * bit_counts(h ^ (h >> np.uint64(31))) > len(h) if len(h) else np.zeros(64, bool)
+        out.append(int(np.packbits(bits, bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def _row_key(id_col: str, text_col: str) -> list:
+    """What tells rows apart: id and a hash of the text."""
+    return [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("c")]
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, c, node, size, f0, f1) of each row; equal sets of shingles have one node."""
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    def run(batches):
+        for batch in batches:
+            rows = [[], [], [], []]
+            for t in batch.column(2).cast(pa.large_binary()).to_pylist():
+                h = shingles(t or b"", shingle)
+                node = xxh64_intdigest(h.tobytes(), 1)
+                for column, v in zip(rows, (node - (node >> 63 << 64), len(h), *signature(h)), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(r, pa.int64()) for r in rows]], ["id", "c", "node", "size", "f0", "f1"])
+
+    return docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, "id long, c long, node long, size long, f0 long, f1 long")
+
+
+def _leaders(bits: int):
+    """A function of Arrow batches sorted by ``group``: (a, b) of each text and the leaders of its group within ``bits``, and the leaders (b null) of groups that are marked ``hot``."""
+    import pyarrow as pa
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(2, dtype=np.int16) <= bits
+
+    def run(batches):
+        last, nodes, prints = None, np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)
+        for batch in batches:
+            group, node, hot = (batch.column(c).to_numpy() for c in ("group", "node", "hot"))
+            key = batch.column("key").to_numpy()
+            fp = np.stack([batch.column(f"f{i}").to_numpy().view(np.uint64) for i in range(LANES)], axis=1)
+            if not len(group):
+                continue
+            out = [[], [], [], [], []]  # a, b, key of leaders and their prints
+
+            def lead(i: np.ndarray) -> None:
+                i = i[hot[i] > 0]
+                out[0].append(node[i]), out[1].append(np.full(len(i), -1)), out[2].append(i)
+
+            fresh = np.r_[True, group[1:] != group[:-1]]
+            cuts = np.flatnonzero(fresh)
+            sizes = np.diff(np.r_[cuts, len(group)])
+            # groups that lie within this batch and are small: all members against all, one distance in the order at a time
+            first, tail = (1 if group[0] == last else 0), len(cuts) - 1
+            small = np.zeros(len(cuts), bool)
+            small[first:tail] = sizes[first:tail] <= 64
+            at = np.flatnonzero(np.repeat(small, sizes))
+            follows = np.zeros(len(group), bool)  # has a leader already
+            ends = np.repeat(cuts + sizes, sizes)
+            step, i, hits = 1, at, ([], [])
+            while True:
+                i = i[i + step < ends[i]]
+                if not len(i):
+                    break
+                hit = np.bitwise_count(fp[i] ^ fp[i + step]).sum(1) <= bits
+                hits[0].append(i[hit]), hits[1].append(i[hit] + step)
+                follows[i[hit] + step] = True
+                step += 1
+            if hits[0]:  # who has leaders near it is paired with them, others with all before them
+                i, j = map(np.concatenate, hits)
+                led = np.zeros(len(group), bool)
+                led[j[~follows[i]]] = True
+                own = ~follows[i] | ~led[j]
+                out[3].append(node[i[own]]), out[4].append(node[j[own]])
+            lead(at[~follows[at]])
+            for j in np.flatnonzero(~small).tolist():
+                b, e = int(cuts[j]), int(cuts[j] + sizes[j])
+                if group[b] != last:
+                    last, nodes, prints = group[b], np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)
+                while b < e:
+                    own = slice(b, min(e, b + 512))
+                    hit = near(fp[own], prints) if len(nodes) else np.zeros((own.stop - b, 0), bool)
+                    r, c = np.nonzero(hit)
+                    out[3].append(nodes[c]), out[4].append(node[own][r])
+                    alone = np.flatnonzero(~hit.any(1)) + b
+                    while len(alone):  # the first becomes a leader, and those near it follow
+                        nodes, prints = np.append(nodes, node[alone[0]]), np.concatenate([prints, fp[alone[:1]]])
+                        lead(alone[:1])
+                        close = near(fp[alone[1:]], fp[alone[:1]])[:, 0]
+                        out[4].append(node[alone[1:][close]]), out[3].append(np.full(int(close.sum()), node[alone[0]]))
+                        alone = alone[1:][~close]
+                    b = own.stop
+            at = np.concatenate(out[2]) if out[2] else np.zeros(0, np.int64)
+            a, b = (np.concatenate(out[k]) if out[k] else np.zeros(0, np.int64) for k in (3, 4))
+            own = a != b
+            a, b = np.minimum(a, b)[own], np.maximum(a, b)[own]
+            empty = pa.nulls(len(a), pa.int64())
+            columns = [pa.array(np.r_[a, node[at]].astype(np.int64)), pa.concat_arrays([pa.array(b), pa.nulls(len(at), pa.int64())])]
+            columns += [pa.concat_arrays([empty, pa.array(v)]) for v in (key[at], *(batch.column(f"f{i}").to_numpy()[at] for i in range(LANES)))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "f0", "f1"])
+
+    return run
+
+
+def candidates(nodes: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
+    """Distinct pairs (a, b) of nodes (node, f0, f1) that share a key and differ in at most ``bits`` bits, each text with its key's leaders."""
+    per = 64 // WIDTH
+    value = [F.expr(f"shiftrightunsigned(f{k // per}, {k % per * WIDTH}) & {(1 << WIDTH) - 1}L") for k in range(SEGMENTS - 1)]
+    # the last segment takes the bits that the others leave over
+    left = 64 - per * WIDTH
+    value.append(F.expr(f"shiftleft(shiftrightunsigned(f0, {per * WIDTH}) & {(1 << WIDTH // 2) - 1}L, {WIDTH // 2}) | (shiftrightunsigned(f1, {per * WIDTH}) & {(1 << WIDTH // 2) - 1}L)"))
+    assert SEGMENTS == LANES * per + 1 and left * 2 >= WIDTH
+    cut = nodes.select("node", "f0", "f1", F.posexplode(F.array(*value)).alias("seg", "value"))
+    often = written(cut.groupBy("seg", "value").count().where(F.col("count") > hot).select(F.col("seg").alias("s"), F.col("value").alias("v"), F.ceil(F.col("count") / hot).cast("int").alias("parts")), "often")
+    marked = cut.join(often, (F.col("seg") == F.col("s")) & (F.col("value") == F.col("v")), "left") if not often.isEmpty() else cut.withColumn("parts", F.lit(None).cast("int"))
+    bit = F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("bit")
+    keyed = marked.select("node", "f0", "f1", "parts", "seg", "value", bit)
+    key = F.expr("((seg * 32L + bit) * 16777216L) + (value & ~shiftleft(1L, bit))")
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")) + 1, F.lit(0))
+    keyed = keyed.select("node", "f0", "f1", key.alias("key"), part.alias("part"))
+    # a key whose two values are not both frequent would meet itself only in part: its rare side goes to the second round too
+    keyed = keyed.select("node", "f0", "f1", "key", (F.col("key") * (1 << 28) + F.col("part")).alias("group"), F.lit(0 if often.isEmpty() else 1).alias("hot"))
+    schema = "a long, b long, key long, f0 long, f1 long"
+    run = _leaders(bits)
+    if often.isEmpty():
+        met = keyed.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, schema)
+        return written(met.select("a", "b").distinct(), "pairs")
+    busy = often.select(F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("bit"), F.col("s").alias("seg"), F.col("v").alias("value")).select(key.alias("k")).distinct()
+    keyed = keyed.drop("hot").join(busy, F.col("key") == F.col("k"), "left").select("node", "f0", "f1", "key", "group", F.col("k").isNotNull().cast("int").alias("hot"))
+    met = written(keyed.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, schema), "met")
+    ahead = met.where("b is null").select(F.col("a").alias("node"), "f0", "f1", "key", F.col("key").alias("group"), F.lit(0).alias("hot"))
+    again = ahead.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, schema)
+    return written(met.where("b is not null").select("a", "b").unionByName(again.select("a", "b")).distinct(), "pairs")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILAR, hot: int = HOT) -> DataFrame:
+    """(id, c, root) of each row: c is a hash of the text; rows whose texts are linked by sets of shingles of at least ``similarity`` (Jaccard) share the root.
+
+    Texts with the same shingles are linked, all texts without words among them. Null text counts as empty.
+    """
+    import pyarrow as pa
+
+    rows = written(signatures(docs, id_col, text_col, shingle), "signatures")
+    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "f0", "f1")], F.min(F.struct(F.col("id").isNull(), "id", "c")).alias("row"))
+    nodes = written(nodes.select("node", "size", "f0", "f1", F.col("row.id").alias("id"), F.col("row.c").alias("c")), "nodes")
+    share = 2 * similarity / (1 + similarity)  # the cosine of equal sets; the distance it makes likely, and four deviations more
+    p = float(np.arccos(share) / np.pi)
+    bits = int(64 * LANES * p + 4 * np.sqrt(64 * LANES * p * (1 - p)))
+    pairs = candidates(nodes.where("size > 0"), bits, hot)
+    size = nodes.select("node", "size")
+    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    pairs = written(sized.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity).select("a", "b"), "pairs")
+    wanted = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
+    held = written(nodes.join(wanted, F.col("node") == F.col("n"), "left_semi").select(F.col("id").alias("i"), F.col("c").alias("k"), "node"), "held")
+
+    def sets(batches):
+        for batch in batches:
+            blobs = [shingles(t or b"", shingle).tobytes() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["node", "members"])
+
+    texts = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text"))
+    texts = texts.join(held, F.col("id").eqNullSafe(F.col("i")) & (F.col("c") == F.col("k"))).select("node", "text")
+    members = written(texts.mapInArrow(sets, "node long, members binary").groupBy("node").agg(F.first("members").alias("members")), "members")
+
+    def verify(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    met = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    roots = components(written(met.mapInArrow(verify, "a long, b long"), "linked"))
+    return rows.join(roots, rows["node"] == roots["node"], "left").select("id", "c", F.coalesce("root", rows["node"]).alias("root"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; of rows that repeat that id, one stays. Rows without id stay."""
-    g = groups(docs, id_col, text_col, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(g, docs[id_col] == g["_kept"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each group of similar texts: that of the least id (null last), then of the least hash of its text.
+
+    Rows that are alike in id and text are one; other rows that share an id, or have none, are rows of their own.
+    """
+    rows = similar(docs, id_col, text_col, **how)
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "c")).alias("row"))
+    count = rows.groupBy("id", "c").agg(F.count(F.lit(1)).alias("n"))
+    kept = least.select(F.col("row.id").alias("i"), F.col("row.c").alias("k")).join(count, F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("c"))).select("i", "k", "n")
+    kept = written(kept, "kept")
+    key = _row_key(id_col, text_col)
+    keyed = boxed(docs, id=key[0], c=key[1])
+    on = F.col("id").eqNullSafe(F.col("i")) & (F.col("c") == F.col("k"))
+    single = keyed.join(kept.where("n = 1"), on, "left_semi")
+    copies = keyed.join(kept.where("n > 1"), on, "left_semi").groupBy("id", "c").agg(F.first("_row").alias("_row"))
+    return unboxed(single.select("_row").unionByName(copies.select("_row")), docs.columns)
