@@ -25,6 +25,8 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: White space beyond ASCII beside a space.
 _WIDE = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81][\x80-\xaf]|\xe3\x80\x80) | (?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81][\x80-\xaf]|\xe3\x80\x80)")
+#: Bytes that every such place holds.
+_WIDE_HINTS = (b" \xc2\x85", b" \xc2\xa0", b"\xc2\x85 ", b"\xc2\xa0 ", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80")
 _WEIGHT = np.random.default_rng(4096).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Marks that both files keep apart from the letters before them.
 _MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
@@ -71,13 +73,10 @@ class Encoder:
         self.text, self.text_used = np.zeros(16384, np.uint8), 0
         self.text_at, self.text_size = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
 
-    def has_special(self, text: bytes) -> bool:
-        return self._special is not None and self._special.search(text) is not None
-
     def parts(self, text: bytes) -> list[bytes | int]:
         """The text cut at names of special tokens, which are ids here."""
         out, at = [], 0
-        for m in self._special.finditer(text) if self._special else ():
+        for m in self._special.finditer(text):
             out += [text[at : m.start()], self.special[m.group()]]
             at = m.end()
         return [*out, text[at:]]
@@ -128,7 +127,7 @@ class Encoder:
 
     def _learn(self, chunks: list[bytes], firsts: list[bool]) -> list[list[int]]:
         """Ids of chunks that the memo lacks. A word with a mark behind it is encoded without it."""
-        out, stems = [], {}
+        out, stems, parts = [], {}, {}
         kept, model, marks = not self.drops_space, self.model.tokenize, self.pieces
         for c, first in zip(chunks, firsts, strict=True):
             mark = c[-1:]
@@ -145,7 +144,12 @@ class Encoder:
                     ids = ids + got
             else:
                 text = c.decode() if first or not kept else " " + c.decode()
-                ids = [i for p in self._pre_tokens(text) for i in self._ids(p)]
+                ids = []
+                for p in self._pre_tokens(text):
+                    got = parts.get(p)
+                    if got is None:
+                        got = parts[p] = self._ids(p)
+                    ids += got
             out.append(ids)
         return out
 
@@ -223,7 +227,11 @@ class Encoder:
         else:
             same = None
         if len(at):
-            unlike = self.text[_places(self.text_at[at] + 1, sizes)] != buf[_places(starts, sizes)]
+            own = np.zeros(len(buf) + 1, np.int8)
+            own[starts] = 1
+            own[starts[1:][starts[1:] == (starts + sizes)[:-1]]] = 0  # a chunk that begins where the last one ends
+            own[starts + sizes] -= 1
+            unlike = self.text[_places(self.text_at[at] + 1, sizes)] != buf[np.cumsum(own[:-1], dtype=np.int8).view(bool)]
             if unlike.any():
                 bad = np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(unlike), "right"))
                 wrong[bad if same is None else same[bad]] = True
@@ -234,19 +242,20 @@ class Encoder:
 
         Names of special tokens in a text are those tokens, as the library takes them; what lies between is encoded on its own.
         """
-        if not any(map(self.has_special, texts)):
-            return self._encode(texts)
+        joined = b" ".join(texts)
+        if not any(t in joined for t in self.special):
+            return self._encode(texts, joined)
         plan = [self.parts(t) for t in texts]
-        ids, counts = self._encode([p for x in plan for p in x if isinstance(p, bytes)])
+        plain = [p for x in plan for p in x if isinstance(p, bytes)]
+        ids, counts = self._encode(plain, b" ".join(plain))
         plain = iter(np.split(ids, np.cumsum(counts)[:-1]))
         whole = [np.concatenate([next(plain) if isinstance(p, bytes) else np.array([p], np.uint16) for p in x]) for x in plan]
         return np.concatenate(whole), np.fromiter(map(len, whole), np.int64, len(whole))
 
-    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if not self.drops_space and any(map(_WIDE.search, texts)):  # rare white space that bytes alone don't show
+    def _encode(self, texts: list[bytes], joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+        if not self.drops_space and not joined.isascii() and any(x in joined for x in _WIDE_HINTS) and any(map(_WIDE.search, texts)):  # rare white space that bytes alone don't show
             got = [np.array(self.library.encode(t.decode(), add_special_tokens=False).ids, np.uint16) for t in texts]
             return np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
-        joined = b" ".join(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         doc_at = np.cumsum(sizes + 1) - sizes - 1
         doc_end = doc_at + sizes
