@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import any_true, md5_mod
+from tessera.operators import ranges
 
 
 def relatives(df: DataFrame, together: list[str]) -> F.Column:
@@ -84,12 +85,9 @@ def labelled_folds(df: DataFrame, label: str, only: list[str] | None = None, out
 
 
 def positions(df: DataFrame, *order: str, out: str = "position") -> DataFrame:
-    """``df`` with each row's 0-based place in a total order, by range partitions and their counts: no single task sorts everything."""
-    spark = df.sparkSession
-    part = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id())
-    counts = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.select(F.col("_p").alias("_q"), (F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_all"))
-    placed = part.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).join(F.broadcast(before), F.col("_p") == F.col("_q"))  # one row for each partition
+    """``df`` with each row's 0-based place in a total order and ``_all``, the number of rows: places in ranges and the ranges' counts, so no single task sorts everything."""
+    rows = ranges.dealt(df, *order)
+    placed = rows.join(F.broadcast(ranges.before(rows, F.lit(1), "_before", "_all")), F.col("_p") == F.col("_q"))  # one row for each range
     return placed.withColumn(out, (F.col("_before") + F.col("_i")).cast("long")).drop("_p", "_q", "_i", "_before")
 
 

@@ -36,16 +36,23 @@ class Sums:
     def pick(self, keep: list[int]) -> Sums:
         return Sums(self.n, self.s[keep], self.xx[np.ix_(keep, keep)], self.shift[keep])
 
+    def raw(self) -> np.ndarray:
+        """Products of the columns as they were, without the shift."""
+        part = np.outer(self.s, self.shift)
+        return self.xx + part + part.T + self.n * np.outer(self.shift, self.shift)
+
     def centred(self) -> tuple[np.ndarray, np.ndarray]:
         m = self.s / self.n
         return self.xx - self.n * np.outer(m, m), m
 
 
-def gram(df: DataFrame, columns: list[str], by: str | None = None) -> dict:
-    """Group -> Sums, in one job (two with the means that are taken off first, for precision). Rows with a null go."""
+def gram(df: DataFrame, columns: list[str], by: str | None = None, shift: list[float] | None = None) -> dict:
+    """Group -> Sums, in one job (two where no ``shift``, numbers near the means, is given: it is taken off first, for precision). Rows with a null go."""
     rows = df.dropna(subset=columns).select(*([by] if by else []), *[F.col(c).cast("double").alias(c) for c in columns])
-    m = rows.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    shift = np.array([m[c] or 0.0 for c in columns])
+    if shift is None:
+        m = rows.agg(*[F.avg(c).alias(c) for c in columns]).first()
+        shift = [m[c] or 0.0 for c in columns]
+    shift = np.array(shift, float)
     z = [F.col(c) - F.lit(float(v)) for c, v in zip(columns, shift, strict=True)]
     p = len(columns)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
@@ -74,7 +81,7 @@ class Linear:
 
 def ridge(sums: Sums, n_targets: int = 1, alpha: float | list[float] = 1.0, free: list[int] = (), intercept: bool = True) -> Linear:
     """Ridge with one penalty, or one for each column; ``free`` columns are not penalised."""
-    c, m = sums.centred() if intercept else (sums.xx + sums.n * 0, np.zeros(len(sums.s)))
+    c, m = sums.centred() if intercept else (sums.raw(), np.zeros(len(sums.s)))
     p = len(sums.s) - n_targets
     pen = np.full(p, float(alpha)) if np.isscalar(alpha) else np.asarray(alpha, float).copy()
     pen[list(free)] = FREE
@@ -110,36 +117,41 @@ def dual_ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> Linear:
     return Linear(my - mx @ beta, beta)
 
 
-def nested_ridge(df: DataFrame, features: list[str], target: str, fold: str, n_training: int = 10, alphas: tuple = ALPHAS, inner: int = 5) -> list[dict]:
-    """Outer folds as given; the penalty of each is chosen by inner folds of its training rows (hash of the row's fold and inner number).
+def cells(df: DataFrame, columns: list[str], key: str, fold: str, n_training: int = 10, inner: int = 5, shift: list[float] | None = None) -> dict[tuple[int, int], Sums]:
+    """(outer fold, inner fold) -> Sums, in one job; the inner fold is a hash of the key, so rows of one subject stay together."""
+    kept = df.where(F.col(fold).between(0, n_training - 1))
+    cell = F.col(fold) * inner + F.pmod(F.xxhash64(key, F.lit("inner")), F.lit(inner)).cast("int")
+    return {(k // inner, k % inner): s for k, s in gram(kept.withColumn("_cell", cell), columns, "_cell", shift).items()}
+
+
+def search(sums: dict[tuple[int, int], Sums], settings: list, fit, inner: int = 5) -> list[dict]:
+    """Nested cross-validation from sums by cell: ``fit(sums, setting)`` gives a Linear model. One dict for each outer fold, and the pooled scores under 'pooled'.
 
-    One job gathers sums by (fold, inner); everything else is arithmetic on them. One dict for each outer fold, and the pooled scores under 'pooled'.
+    The setting of an outer fold is the one with the least squared error over the inner folds of its training rows; the first of equal ones.
     """
-    cell = F.concat_ws("|", F.col(fold).cast("string"), F.col("_inner").cast("string"))
-    keyed = df.where(F.col(fold).between(0, n_training - 1)).withColumn("_inner", F.pmod(F.xxhash64(*features, target), F.lit(inner))).withColumn("_cell", cell)
-    cells = {tuple(map(int, k.split("|"))): s for k, s in gram(keyed, [*features, target], "_cell").items()}
-    total = lambda keep: _total([s for k, s in cells.items() if keep(k)])
+    total = lambda keep: _total([s for k, s in sums.items() if keep(k)])
     out, pooled = [], np.zeros(2)
-    for f in sorted({k[0] for k in cells}):
-        best = None
-        for a in alphas:
-            score = 0.0
-            for i in range(inner):
-                train, test = total(lambda k, f=f, i=i: k[0] != f and k[1] != i), total(lambda k, f=f, i=i: k[0] != f and k[1] == i)
-                if train is not None and test is not None:
-                    score += float(sse(test, ridge(train, 1, a))[0])
-            if best is None or score < best[0]:
-                best = (score, a)
+    for f in sorted({k[0] for k in sums}):
+        parts = [(total(lambda k, f=f, i=i: k[0] != f and k[1] != i), total(lambda k, f=f, i=i: k[0] != f and k[1] == i)) for i in range(inner)]
+        parts = [p for p in parts if p[0] is not None and p[1] is not None]
+        scores = [sum(float(sse(test, fit(train, s))[0]) for train, test in parts) for s in settings]
+        best = settings[int(np.argmin(scores))] if parts else settings[0]
         train, test = total(lambda k, f=f: k[0] != f), total(lambda k, f=f: k[0] == f)
-        m = ridge(train, 1, best[1])
+        m = fit(train, best)
         e = float(sse(test, m)[0])
         pooled += (e, test.n)
-        out.append({"fold": f, "alpha": best[1], "model": m, "n": test.n, "mse": e / test.n, "r2": 1 - e / float(sst(test)[0])})
+        out.append({"fold": f, "alpha": best, "model": m, "n": test.n, "mse": e / test.n, "r2": 1 - e / float(sst(test)[0])})
     everything = total(lambda k: True)
     out.append({"fold": "pooled", "n": everything.n, "mse": pooled[0] / pooled[1], "r2": 1 - pooled[0] / float(sst(everything)[0])})
     return out
 
 
+def nested_ridge(df: DataFrame, features: list[str], target: str, fold: str, n_training: int = 10, alphas: tuple = ALPHAS, inner: int = 5, key: str | None = None) -> list[dict]:
+    """Nested cross-validated ridge: outer folds as given, inner ones by hash of ``key`` (all columns, if there is none)."""
+    keyed = df if key else df.withColumn("_key", F.xxhash64(*features, target))
+    return search(cells(keyed, [*features, target], key or "_key", fold, n_training, inner), list(alphas), lambda s, a: ridge(s, 1, a), inner)
+
+
 def _total(parts: list[Sums]) -> Sums | None:
     out = None
     for s in parts:

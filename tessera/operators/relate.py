@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import ranges
+
 
 def add_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join on the key that adds only columns the left side lacks."""
@@ -45,37 +47,33 @@ def interval_join(points: DataFrame, ranges: DataFrame, chrom: str, pos: str, st
 def next_value(df: DataFrame, reference: DataFrame, value: str, out: str, by: list[str] = ()) -> DataFrame:
     """The least reference value not below each row's value (left search in sorted values), null beyond the last.
 
-    One sort of both sides together; with ``by`` each group is searched on its own, without it the values are first dealt by range, and a range's
-    missing successors are the next ranges' first values.
+    One sort of both sides together, largest first, and one pass that carries the last reference value; with ``by`` each group is
+    searched on its own, without it the values are dealt by range, and a range without a successor takes the next ranges' first value.
     """
     a = df.withColumns({"_v": F.col(value).cast("double"), "_side": F.lit(0), "_r": F.lit(None).cast("double")})
     b = reference.select(*by, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_side"), F.col(value).cast("double").alias("_r"))
     both = a.unionByName(b, allowMissingColumns=True)
+    carried = lambda w: F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if by:
-        w = Window.partitionBy(*by).orderBy("_v", "_side").rowsBetween(0, Window.unboundedFollowing)
-        return both.withColumn(out, F.first("_r", ignorenulls=True).over(w)).where("_side = 0").drop("_v", "_side", "_r")
-    dealt = both.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_v", "_side").withColumn("_p", F.spark_partition_id())
-    firsts = dealt.groupBy("_p").agg(F.min("_r").alias("_f"))
-    later = firsts.select(F.col("_p").alias("_q"), F.first("_f", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    w = Window.partitionBy("_p").orderBy("_v", "_side").rowsBetween(0, Window.unboundedFollowing)
-    found = dealt.withColumn("_own", F.first("_r", ignorenulls=True).over(w)).where("_side = 0")
-    joined = found.join(F.broadcast(later), F.col("_p") == F.col("_q"), "left")  # one row for each partition
-    return joined.withColumn(out, F.when(F.col("_v").isNull(), None).otherwise(F.coalesce("_own", "_after"))).drop("_v", "_side", "_r", "_p", "_q", "_own", "_after")
+        w = Window.partitionBy(*by).orderBy(F.desc("_v"), F.desc("_side"))
+        return both.withColumn(out, F.when(F.col("_v").isNotNull(), carried(w))).where("_side = 0").drop("_v", "_side", "_r")
+    rows = ranges.dealt(both.withColumn("_down", -F.col("_v")), F.col("_down").asc_nulls_last(), F.desc("_side"))
+    least = rows.groupBy(F.col("_p").alias("_q")).agg(F.min("_r").alias("_f"))
+    above = least.select("_q", F.last("_f", ignorenulls=True).over(Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))
+    found = rows.withColumn("_own", carried(Window.partitionBy("_p").orderBy("_i"))).where("_side = 0")
+    joined = found.join(F.broadcast(above), F.col("_p") == F.col("_q"))  # one row for each range
+    return joined.withColumn(out, F.when(F.col("_v").isNotNull(), F.coalesce("_own", "_above"))).drop("_v", "_side", "_r", "_down", "_p", "_i", "_q", "_own", "_above")
 
 
 def running_total(df: DataFrame, order: str, amount: str, out: str, total: str) -> DataFrame:
     """``df`` with the sum of ``amount`` over all rows before it in ``order`` (ties in any order), and over all rows.
 
-    Rows are dealt by range; each range sums its own, and the ranges' totals (one row for each partition) are added from a broadcast table.
+    Rows are dealt by range; each range sums its own, and the ranges' totals (one row for each range) are added from a broadcast table.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
-    sums = dealt.groupBy("_p").agg(F.sum(amount).alias("_s"))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    before = sums.select(F.col("_p").alias("_q"), (F.sum("_s").over(w) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias(total))
-    own = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn("_own", F.sum(amount).over(own) - F.col(amount)).join(F.broadcast(before), F.col("_p") == F.col("_q"))
-    return placed.withColumn(out, F.col("_before") + F.col("_own")).drop("_p", "_q", "_before", "_own")
+    rows = ranges.dealt(df, order)
+    own = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("_own", F.sum(amount).over(own) - F.col(amount)).join(F.broadcast(ranges.before(rows, F.col(amount), "_before", total)), F.col("_p") == F.col("_q"))
+    return placed.withColumn(out, F.col("_before") + F.col("_own")).drop("_p", "_i", "_q", "_before", "_own")
 
 
 def masked_where_different(pairs: DataFrame, notes: DataFrame, key: str, note: str, value: str, fill: float) -> DataFrame:

@@ -15,33 +15,36 @@ def grid(spark: SparkSession, settings: dict[str, list]) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ["point", *settings])
 
 
-def bootstrap(df: DataFrame, key: str, baseline: str, test: str, iterations: int = 1000, smaller_better: bool = True, seed: int = 0) -> DataFrame:
+def bootstrap(df: DataFrame, key: str, baseline: str, test: str, iterations: int = 1000, smaller_better: bool = True, seed: int = 0, cells: int = 1 << 16) -> DataFrame:
     """(stars, better, worse) of a paired bootstrap: how often the resampled sum of improvements is above or below 0.
 
-    Each row is drawn a Poisson(1) number of times in each iteration, from a hash of row, iteration and seed: the
-    resamples of a large table without moving rows. Above 99 % of the iterations: ** (better) or !! (worse); above 95 %: * or !.
-    Sums of all iterations are kept in each partition, so the shuffle carries ``iterations`` numbers for each task.
+    Rows are dealt by hash of the key to cells, whose sums are made before the shuffle; each iteration draws every cell a Poisson(1) number of times, from
+    a hash of cell, iteration and seed. With z the deviations of the sum of improvements from 0, cells widen the resamples' variance by the share z ** 2 / cells:
+    0.01 % where the decision is near. The work is ``cells`` times ``iterations``, whatever the table's size.
+    Above 99 % of the iterations: ** (better) or !! (worse); above 95 %: * or !. Rows that lack a value are left out.
     """
     if iterations <= 0:
         raise ValueError("iterations must be positive")
     gain = (F.col(baseline) - F.col(test)) if smaller_better else (F.col(test) - F.col(baseline))
-    rows = df.select(F.xxhash64(key).alias("h"), gain.cast("double").alias("g")).where("g is not null")
+    rows = df.select(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(cells)).alias("h"), gain.cast("double").alias("g")).where("g is not null")
+    rows = rows.groupBy("h").agg(F.sum("g").alias("g"))
     steps = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(1, 12)]) + np.exp(-1)
-    edges = np.r_[np.exp(-1), steps]
+    # a draw is the number of steps that a 32-bit hash lies above
+    edges = (np.r_[np.exp(-1), steps] * 2.0**32).clip(0, 2**32 - 1).astype(np.uint32)
 
     def run(batches):
         import pyarrow as pa
 
         total = np.zeros(iterations)
-        it = np.arange(iterations, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        it = (np.arange(iterations, dtype=np.uint64)[None, :] + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
-            h, g = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            for i in range(0, len(h), 512):
-                x = h[i : i + 512, None] ^ it
+            h, g = b.column(0).to_numpy().view(np.uint64) * np.uint64(0xD6E8FEB86659FD93), b.column(1).to_numpy()
+            for i in range(0, len(h), 256):
+                x = h[i : i + 256, None] ^ it
                 x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                u = (x ^ (x >> np.uint64(31))).astype(np.float64) / 2.0**64
-                total += g[i : i + 512] @ np.searchsorted(edges, u)
+                u = ((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32)
+                for e in edges:
+                    total += g[i : i + 256] @ (u >= e)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(iterations)), pa.array(total)], ["i", "s"])
 
     sums = rows.mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s"))

@@ -4,51 +4,80 @@ from __future__ import annotations
 
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import folds, gram, metrics
 from tessera.plans.registry import table
+from tessera.scratch import written
 
 
 def out_of_fold(df: DataFrame, results: list[dict], features: list[str], fold: str = "fold", out: str = "predicted") -> DataFrame:
-    """``df`` with each row's prediction by the model that did not see its fold: one projection, no join."""
-    e = F.lit(None).cast("double")
-    for x in results:
-        if x["fold"] != "pooled":
-            e = F.when(F.col(fold) == x["fold"], x["model"].column(features)).otherwise(e)
-    return df.withColumn(out, e)
-
-
-
-
-def evaluate(df: DataFrame, key: str, targets: dict[str, str], sets: dict[str, list[str]], n_training: int = 10, n_holdout: int = 2, alphas: tuple = gram.ALPHAS) -> DataFrame:
-    """One row for each target and covariate set: R2, MAE, MSE, samples; MAE from one pass over the out-of-fold predictions of all sets.
-
-    Rows that lack a needed column are dropped for that target first, as one frame for all of its sets.
+    """``df`` with each row's prediction by the model that did not see its fold: one projection, no join. Other folds' rows have none."""
+    models = {x["fold"]: x["model"] for x in results if x["fold"] != "pooled"}
+    if not models:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    top = max(models) + 1
+    pick = lambda value: F.get(F.array(*[F.lit(float(value(models[f])) if f in models else None) for f in range(top)]), F.col(fold))
+    e = pick(lambda m: m.intercept[0])
+    for j, c in enumerate(features):
+        e = e + F.col(c) * pick(lambda m, j=j: m.beta[j, 0])
+    return df.withColumn(out, F.when(F.col(fold) >= 0, e))
+
+
+def with_holdout(df: DataFrame, results: list[dict], features: list[str], n_training: int, fold: str = "fold", out: str = "predicted") -> DataFrame:
+    """Out-of-fold predictions of training rows; hold-out rows, which no model saw, get the mean of all models' predictions."""
+    models = [x["model"] for x in results if x["fold"] != "pooled"]
+    mean = gram.Linear(np.mean([m.intercept for m in models], 0), np.mean([m.beta for m in models], 0))
+    held = folds.in_holdout(fold, n_training)
+    inside = out_of_fold(df, results, features, fold, "_inside")
+    return inside.withColumn(out, F.when(held, mean.column(features)).otherwise(F.col("_inside"))).drop("_inside")
+
+
+def evaluate(df: DataFrame, key: str, targets: dict[str, str], sets: dict[str, list[str]], n_training: int = 10, n_holdout: int = 2, alphas: tuple = gram.ALPHAS, extra: tuple = ()) -> DataFrame:
+    """One row for each target and covariate set: R2, MAE, MSE, samples, after the naive models' rows.
+
+    Rows that lack a needed column are dropped for that target first, as one frame for all of its sets. Folds are computed once and written; one
+    pass gives the naive models, one the sums of all columns by fold (a set's model picks its own from them), one the absolute errors of all sets.
+    ``extra``: also "std" (deviation of R2 over the folds) and "holdout" (R2 of the hold-out rows, which no model saw).
     """
     spark, rows = df.sparkSession, []
     for name, target in targets.items():
         needed = list(dict.fromkeys([key, *chain.from_iterable(sets.values()), target]))
-        own = folds.hashed_folds(df.select(*needed).dropna(), key, n_training, n_holdout, check=False).where(folds.in_training("fold", n_training))
-        pred, pooled = own, {}
-        for i, (label, features) in enumerate(sets.items()):
-            res = gram.nested_ridge(own, features, target, "fold", n_training, alphas)
-            pred, pooled[label] = out_of_fold(pred, res, features, out=f"_p{i}"), res[-1]
+        columns = [c for c in needed if c not in (key, target)] + [target]
+        all_rows = written(folds.hashed_folds(df.select(*needed).dropna(), key, n_training, n_holdout, check=False), "folds")
+        own = all_rows.where(folds.in_training("fold", n_training))
         naive = metrics.naive_regression(own, target).collect()
-        y = F.col(target)
-        maes = pred.agg(*[metrics.mae(y, F.col(f"_p{i}")).alias(f"m{i}") for i in range(len(sets))]).first()
-        rows += [(name, b["model"], "", float(b["r2"]), float(b["mae"]), float(b["mse"]), int(b["n"])) for b in naive]
-        rows += [(name, "Ridge", label, float(pooled[label]["r2"]), float(maes[f"m{i}"]), float(pooled[label]["mse"]), int(pooled[label]["n"])) for i, label in enumerate(sets)]
-    out = spark.createDataFrame(rows, "target string, model string, covariates string, r2 double, mae double, mse double, samples long")
-    return out.select("target", "model", "covariates", F.round("r2", 6).alias("r2"), F.round("mae", 3).alias("mae"), F.round("mse", 0).alias("mse"), "samples")
+        start = own.agg(*[F.avg(c).alias(c) for c in columns]).first()
+        sums = gram.cells(own, columns, key, "fold", n_training, shift=[start[c] or 0.0 for c in columns])
+        pred, found = all_rows, {}
+        for i, (label, features) in enumerate(sets.items()):
+            at = [columns.index(c) for c in [*features, target]]
+            found[label] = gram.search({k: s.pick(at) for k, s in sums.items()}, list(alphas), lambda s, a: gram.ridge(s, 1, a))
+            pred = with_holdout(pred, found[label], features, n_training, out=f"_p{i}")
+        y, inside = F.col(target), folds.in_training("fold", n_training)
+        r2 = lambda p: 1 - F.sum(F.when(~inside, F.pow(y - p, F.lit(2.0)))) / (F.var_pop(F.when(~inside, y)) * F.count_if(~inside))
+        got = pred.agg(
+            *[F.avg(F.when(inside, F.abs(y - F.col(f"_p{i}")))).alias(f"m{i}") for i in range(len(sets))], *[r2(F.col(f"_p{i}")).alias(f"h{i}") for i in range(len(sets))]
+        ).first()
+        rows += [(name, b["model"], "", float(b["r2"]), float(b["mae"]), float(b["mse"]), int(b["n"]), None, None) for b in naive]
+        for i, label in enumerate(sets):
+            pooled, each = found[label][-1], [x["r2"] for x in found[label][:-1]]
+            rows.append((name, "Ridge", label, float(pooled["r2"]), float(got[f"m{i}"]), float(pooled["mse"]), int(pooled["n"]), float(np.std(each)), got[f"h{i}"]))
+    out = spark.createDataFrame(rows, "target string, model string, covariates string, r2 double, mae double, mse double, samples long, std double, holdout double")
+    more = [F.round(c, 6).alias(n) for c, n in (("std", "std_r2"), ("holdout", "holdout_r2")) if c in extra]
+    return out.select("target", "model", "covariates", F.round("r2", 6).alias("r2"), F.round("mae", 3).alias("mae"), F.round("mse", 0).alias("mse"), "samples", *more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested cross-validated ridge of price on quantity, discount and tax, per outer fold."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     own = folds.hashed_folds(li, "l_orderkey", check=False)
-    res = gram.nested_ridge(own, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "fold")
+    columns = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+    start = li.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    sums = gram.cells(own.dropna(), columns, "l_orderkey", "fold", shift=[start[c] or 0.0 for c in columns])
+    res = gram.search(sums, list(gram.ALPHAS), lambda s, a: gram.ridge(s, 1, a))
     rows = [(str(x["fold"]), float(x.get("alpha", 0.0)), float(x["r2"]), float(x["mse"]), int(x["n"])) for x in res]
     return spark.createDataFrame(rows, "fold string, alpha double, r2 double, mse double, n long").select("fold", "alpha", F.round("r2", 6).alias("r2"), F.round("mse", 0).alias("mse"), "n")
 
@@ -94,13 +123,16 @@ def significance(df: DataFrame, key: str, target: str, sets: dict[str, list[str]
     from tessera.operators import resample
 
     needed = list(dict.fromkeys([key, *chain.from_iterable(sets.values()), target]))
-    own = folds.hashed_folds(df.select(*needed).dropna(), key, n_training, check=False).where(folds.in_training("fold", n_training))
+    own = written(folds.hashed_folds(df.select(*needed).dropna(), key, n_training, check=False).where(folds.in_training("fold", n_training)), "folds")
     naive = metrics.naive_regression(own, target).collect()
     best_naive = min(naive, key=lambda r: r["mae"])["model"]
     stats = own.agg(F.avg(target).alias("Mean"), F.percentile(target, 0.5).alias("Median")).first()
+    columns = [c for c in needed if c not in (key, target)] + [target]
+    sums = gram.cells(own, columns, key, "fold", n_training)
     pred, score = own.withColumn("_naive", F.abs(F.col(target) - F.lit(float(stats[best_naive])))), {}
     for i, (label, features) in enumerate(sets.items()):
-        res = gram.nested_ridge(own, features, target, "fold", n_training)
+        at = [columns.index(c) for c in [*features, target]]
+        res = gram.search({k: s.pick(at) for k, s in sums.items()}, list(gram.ALPHAS), lambda s, a: gram.ridge(s, 1, a))
         pred = out_of_fold(pred, res, features, out=f"_p{i}").withColumn(f"_e{i}", F.abs(F.col(target) - F.col(f"_p{i}")))
         score[label] = res[-1]["mse"]
     number = {label: i for i, label in enumerate(sets)}
