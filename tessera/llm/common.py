@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import itertools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_serial = itertools.count()
-_folders: dict[str, SparkSession] = {}
+from tessera.scratch import folder as shared_folder  # noqa: F401  others import them from here
+from tessera.scratch import new_path, remove, written  # noqa: F401
 
 #: ASCII white space; what lies between is a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,45 +28,6 @@ def unboxed(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
     return df.select(*[(changed[c] if c in changed else F.col("_row").getField(c)).alias(c) for c in columns])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where that setting is absent (tests on one machine) a folder beside the warehouse serves.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", top)
-    if "://" not in top and not top.startswith("file:"):
-        top = f"file://{top}" if top.startswith("/") else top
-    path = f"{top.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
-    if path not in _folders:
-        _folders[path] = spark
-        atexit.register(remove, spark, path)
-    return path
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{next(_serial)}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder by Hadoop's file system, whatever its scheme; silent if the session has ended."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # at exit the gateway may be gone
-        pass
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write Parquet into the shared folder and read it again, so a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def with_running(df: DataFrame, arrays: dict[str, Column], step, block: int = 64) -> DataFrame:
     """``df`` with, for each element of arrays of longs, what ``step`` makes of all before it, from 0 on.
 
