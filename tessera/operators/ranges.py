@@ -17,9 +17,9 @@ def dealt(df: DataFrame, *order: str | Column) -> DataFrame:
     Ranges come from a sample, and a second evaluation may sample others; so the dealt rows are written, and every later step reads those.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_dealt_id", F.monotonically_increasing_id())
     rows = written(placed, "ranges")
-    return rows.withColumns({"_p": F.shiftright("_id", BITS), "_i": F.col("_id").bitwiseAND(F.lit((1 << BITS) - 1))}).drop("_id")
+    return rows.withColumns({"_p": F.shiftright("_dealt_id", BITS), "_i": F.col("_dealt_id").bitwiseAND(F.lit((1 << BITS) - 1))}).drop("_dealt_id")
 
 
 def before(rows: DataFrame, amount: Column, out: str, total: str) -> DataFrame:
