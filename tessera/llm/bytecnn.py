@@ -157,7 +157,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = BYT
     ids = chosen.collect()  # two bounded lists of ids
     spark = docs.sparkSession
     few = spark.createDataFrame([(r.doc_id, r.quality) for r in ids], "doc_id long, quality int")
-    got = docs.join(F.broadcast(few), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"), order.alias("h"))
+    # rows that share an id are one: the text of the least hash, so both lists stay as long as ``chosen``
+    text = F.coalesce("text", F.lit(""))
+    one = lambda few: docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min_by(text, F.xxhash64(text)).alias("text")).withColumn("h", order)
+    got = one(few)
     sizes = sorted((r.h, r.doc_id, r.quality, r.n) for r in got.select("h", "doc_id", "quality", F.octet_length("text").alias("n")).collect())
     take, total = set(), [0, 0]
     for _, doc, q, n in sizes:
@@ -165,7 +168,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = BYT
             total[q] += n
             take.add(doc)
     few = spark.createDataFrame([(r.doc_id, r.quality) for r in ids if r.doc_id in take] or [], "doc_id long, quality int")
-    texts = sorted((r.h, r.doc_id, r.quality, r.text) for r in docs.join(F.broadcast(few), "doc_id").select(order.alias("h"), "doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).collect())
+    texts = sorted((r.h, r.doc_id, r.quality, r.text) for r in one(few).collect())
     return [t.encode() for *_, t in texts], [q for _, _, q, _ in texts]
 
 
@@ -186,7 +189,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; a null id counts as held out."""
+    """doc_id, held_out, score, predicted for every row; a null id counts as held out.
+
+    The tables' columns are ``doc_id``, ``text`` and ``doc_id``, ``quality``; others are ignored.
+    """
     s = scored(docs.select("doc_id", "text"), trained(docs, labels)).drop("text")
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, boxed, unboxed
+from tessera.llm.common import WORD, boxed, unboxed, written
+from tessera.operators.folds import positions
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 512
@@ -59,8 +60,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sized = sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "size"))
     sized = sized.withColumn("_bucket", F.pmod(F.col("_h"), F.lit(BUCKETS)).cast("int"))
     within = Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    # repartitioning first lets every later step reuse one exchange of narrow rows
-    sized = sized.repartition("source", "_bucket")
+    # narrow rows, written once: every later step reads these, and words are counted in one pass over the texts
+    sized = written(sized, "sizes").repartition("source", "_bucket")
     sums = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_in"))
     goal = targets(sums.groupBy("source").agg(F.sum("_in").alias("source_size")), **how)
     ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -93,18 +94,28 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """The mixture itself, with the columns of ``docs``: each document as often as the mix takes it.
 
-    Whole copies are unchanged; a fractional copy is the document up to the end of its last taken word.
+    Whole copies are unchanged; a fractional copy is the document up to the end of its last taken word. Rows that are
+    equal in id, source and size share their words evenly; what is left over goes to the first ones, one word each.
     """
-    m = mix(docs, id_col, source_col, text_col, **how).groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("_take"))
-    m = m.where("_take > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "_take")
+    m = written(mix(docs, id_col, source_col, text_col, **how).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("_sum"), F.count(F.lit(1)).alias("_rows")), "takes")
+    m = m.where("_sum > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "_sum", "_rows")
     keyed = boxed(docs, id=F.col(id_col), source=F.col(source_col), text=F.col(text_col), size=word_count(F.col(text_col)))
     on = F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("size") == F.col("_sz"))
-    # -1: a whole copy; rows equal in id, source and size share their words evenly
+    joined = keyed.join(m.where("_rows = 1"), on).withColumn("_take", F.col("_sum"))
+    alike = m.where("_rows > 1")
+    if not alike.isEmpty():
+        placed = positions(keyed.join(alike, on).withColumn("_n", F.monotonically_increasing_id()), "id", "source", "size", "_n")
+        first = placed.groupBy("id", "source", "size").agg(F.min("position").alias("_first")).select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_first")
+        same = F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
+        more = (F.col("position") - F.col("_first") < F.col("_sum") % F.col("_rows")).cast("long")
+        shared = placed.join(first, same).withColumn("_take", F.floor(F.col("_sum") / F.col("_rows")) + more)
+        joined = joined.unionByName(shared.select(joined.columns))
+    # -1: a whole copy
     part = F.col("_take") % F.col("_sz")
     takes = F.concat(
         F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("_take") / F.col("_sz")).cast("int")),
         F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")),
     )
-    out = keyed.join(m, on).withColumn("_copy", F.explode(takes))
+    out = joined.where("_take > 0").withColumn("_copy", F.explode(takes))
     text = F.when(F.col("_copy") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("_copy")))
     return unboxed(out, docs.columns, **{text_col: text})

@@ -3,11 +3,11 @@
 The neighbour graph starts from random hyperplane orders: along each, every vector meets those that
 stand next to it. Rounds of neighbours-of-neighbours joins then refine it: around each vector its neighbours, in
 either direction, are compared with each other, and only pairs that beat the worst entry of a list
-travel on. A list that is full of neighbours above the threshold is saturated: it may hide more, in its own
-component or in another that is saturated too (a list that isn't full holds all of its links). Such components
-get enlarged lists: tiles of their members are compared tile by tile, within a component and between components
-whose tiles lie near each other, and only counts leave, so a component with a third of all rows is many even tasks. An audit
-compares a bounded sample with all vectors; further rounds run until its recall is high enough.
+travel on. A list that is full of neighbours above the threshold is saturated: it may hide more. Its room is doubled, and fresh
+hyperplane orders of the saturated vectors and a round around them fill it, up to ``LONGEST``. What is still full belongs to a dense component, where lists would
+be as long as the component: its members are dealt to tiles that are compared tile by tile, within a component and between such components
+whose tiles lie near each other, and only counts leave. An audit compares a bounded sample with all vectors; further rounds run
+until its recall is high enough, and a recall that stays too low is an error.
 
 Equal vectors are one node with a weight, so copies are never paired.
 """
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 from tessera.llm.graph import components
 
-#: Length of a neighbour list before it is enlarged, hyperplane orders of the start, vectors compared along each, members of a tile, tiles of a block.
-NEIGHBOURS, ORDERS, LEAF, TILE, BLOCK = 10, 8, 32, 256, 1024
-#: The audit's sample (never more, whatever the table's size), the recall it wants, and the rounds that may be added for it.
-AUDIT, RECALL, ROUNDS, MORE = 256, 0.97, 2, 3
+#: Length of a neighbour list, and of one that was enlarged; hyperplane orders of the start, vectors compared along each.
+NEIGHBOURS, LONGEST, ORDERS, LEAF = 10, 40, 8, 32
+#: A component's tiles: as many as give TILE members each, but no more than SPREAD before a tile holds MOST; tiles of a block of caps, rows of one product.
+TILE, SPREAD, MOST, BLOCK, ROWS = 256, 16, 8192, 1024, 1024
+#: The audit's sample (never more, whatever the table's size), the recall it wants, the recall below which the result is refused, and the rounds that may be added.
+AUDIT, RECALL, LEAST, ROUNDS, MORE = 256, 0.97, 0.9, 2, 3
 ARROW = "u long, v long, sim double"
 
 
@@ -32,6 +34,7 @@ def _unit(column) -> np.ndarray:
     """Rows of unit vectors in double precision."""
     flat = column.flatten() if hasattr(column, "flatten") else column.values
     x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small numbers would leave the range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -48,8 +51,8 @@ def _batch(rows, names=("u", "v", "sim")):
     return pa.RecordBatch.from_arrays([pa.array(r, kinds.get(n, pa.int64())) for r, n in zip(rows, names, strict=True)], list(names))
 
 
-def start(nodes: DataFrame, k: int, orders: int, leaf: int, seed: int) -> DataFrame:
-    """First lists: the best of the vectors that stand in one leaf of a hyperplane order."""
+def start(nodes: DataFrame, k: int, orders: int, leaf: int, seed: int, least: float = -2.0) -> DataFrame:
+    """First lists: the best of the vectors that stand in one leaf of a hyperplane order, of similarity above ``least``."""
     import pyarrow as pa
 
     def codes(batches):
@@ -80,7 +83,7 @@ def start(nodes: DataFrame, k: int, orders: int, leaf: int, seed: int) -> DataFr
                 s[ids[own][:, None] == ids[all_][None, :]] = -2  # a leaf may hold the end of one order and the start of the next
                 top = np.argsort(-s, axis=1)[:, :k]
                 for j, r in enumerate(top):
-                    r = r[s[j, r] > -2]
+                    r = r[s[j, r] > least]
                     out[0].extend([int(ids[i + j])] * len(r))
                     out[1].extend(ids[all_][r].tolist())
                     out[2].extend(s[j, r].tolist())
@@ -93,21 +96,23 @@ def start(nodes: DataFrame, k: int, orders: int, leaf: int, seed: int) -> DataFr
     return best(ordered.mapInArrow(leaves, ARROW), k)
 
 
-def best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k most similar of each u, without repeats; ``worst`` is the last one's similarity, -1 while the list isn't full."""
+def best(pairs: DataFrame, k: int, room: int | None = None, threshold: float = 2.0) -> DataFrame:
+    """(u, v, sim) without repeats: the k most similar of each u, and up to ``room`` of them that reach the threshold."""
     once = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("n") <= k)
-    return ranked.select("u", "v", "sim")
+    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("n") <= max(k, room or k))
+    return ranked.where((F.col("n") <= k) | (F.col("sim") >= threshold)).select("u", "v", "sim")
 
 
-def refine(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """One round: around each vector, compare its neighbours with each other and keep what betters a list."""
-    worst = lists.groupBy("u").agg(F.min("sim").alias("w"), F.count(F.lit(1)).alias("c")).select(F.col("u").alias("m"), F.when(F.col("c") < k, F.lit(-1.0)).otherwise(F.col("w")).alias("worst"))
-    # reverse neighbours: a vector that many lists hold keeps the k nearest of them
+def around(lists: DataFrame, k: int) -> DataFrame:
+    """(u, v): what each vector's neighbourhood holds: its list, itself, and the k nearest of those whose lists hold it."""
     back = best(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"), k)
-    around = lists.select("u", "v").unionByName(back.select("u", "v")).unionByName(lists.select("u", F.col("u").alias("v"))).distinct()
+    return lists.select("u", "v").unionByName(back.select("u", "v")).unionByName(lists.select("u", F.col("u").alias("v"))).distinct()
+
+
+def compared(nodes: DataFrame, near: DataFrame, worst: DataFrame) -> DataFrame:
+    """(u, v, sim) of vectors that meet in a neighbourhood of ``near`` and are more alike than u's ``worst`` (m, worst; -1 for vectors it lacks)."""
     info = nodes.select(F.col("id").alias("i"), "e").join(worst, F.col("i") == F.col("m"), "left").select("i", "e", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
-    dealt = around.join(info, F.col("v") == F.col("i")).select("u", "v", "e", "worst").repartition("u").sortWithinPartitions("u")
+    dealt = near.join(info, F.col("v") == F.col("i")).select("u", "v", "e", "worst").repartition("u").sortWithinPartitions("u")
 
     def local(batches):
         import pyarrow as pa
@@ -132,9 +137,41 @@ def refine(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
                 np.fill_diagonal(s, -2)
                 a, c = np.nonzero(s > w[lo:hi, None])
                 out[0].append(v[lo:hi][a]), out[1].append(v[lo:hi][c]), out[2].append(s[a, c])
-            yield _batch([np.concatenate(o) if o else [] for o in out])
+            a, c, s = (np.concatenate(o) if o else np.zeros(0) for o in out)
+            order = np.lexsort((c, a))  # a pair that meets in several neighbourhoods of a batch leaves once
+            order = order[np.r_[True, (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])]] if len(order) else order
+            yield _batch([a[order], c[order], s[order]])
+
+    return dealt.mapInArrow(local, ARROW)
+
+
+def refine(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """One round: around each vector, compare its neighbours with each other and keep what betters a list."""
+    worst = lists.groupBy("u").agg(F.min("sim").alias("w"), F.count(F.lit(1)).alias("c")).select(F.col("u").alias("m"), F.when(F.col("c") < k, F.lit(-1.0)).otherwise(F.col("w")).alias("worst"))
+    return best(lists.unionByName(compared(nodes, around(lists, k), worst)), k)
+
 
-    return best(lists.unionByName(dealt.mapInArrow(local, ARROW)), k)
+def saturated(lists: DataFrame, room: int, threshold: float) -> DataFrame:
+    """(node): vectors with at least ``room`` neighbours that reach the threshold."""
+    return lists.where(F.col("sim") >= threshold).groupBy("u").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= room).select(F.col("u").alias("node"))
+
+
+def lengthened(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """The lists, those of saturated vectors with twice their room until they aren't full or have ``longest``; and (node) what is full even so."""
+    room = k
+    while True:
+        full = written(saturated(lists, room, threshold), "full")
+        if room >= longest or full.isEmpty():
+            return lists, full
+        room *= 2
+        below = float(np.nextafter(threshold, 0))
+        own = nodes.join(full, nodes["id"] == full["node"], "left_semi")
+        lists = written(best(lists.unionByName(start(own, room, ORDERS, max(LEAF, 2 * room), room, below)), k, room, threshold), "lists")
+        centres = full.unionByName(lists.join(full, F.col("v") == F.col("node"), "left_semi").select(F.col("u").alias("node"))).distinct()
+        near = around(lists, room).join(centres, F.col("u") == F.col("node"), "left_semi")
+        # only full lists take more, and only what reaches the threshold
+        worst = nodes.join(full, nodes["id"] == full["node"], "left").select(F.col("id").alias("m"), F.when(F.col("node").isNull(), F.lit(2.0)).otherwise(F.lit(below)).alias("worst"))
+        lists = written(best(lists.unionByName(compared(nodes, near, worst)), k, room, threshold), "lists")
 
 
 def _with_end(batches):
@@ -178,10 +215,14 @@ def close_tiles(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFr
     return written(left.unionByName(right).groupBy("a", "b").applyInArrow(meet, "root long, t int, other long, o int"), "close")
 
 
-def enlarged(nodes: DataFrame, members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
-    """(id, root, other, links): linked weight of each member of the components in ``members`` (id, root) in component ``other``, all tiles compared that may hold a link."""
-    n = F.row_number().over(Window.partitionBy("root").orderBy("id")) - 1
-    placed = members.withColumn("t", F.floor(n / tile).cast("int"))
+def dense(nodes: DataFrame, members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """(id, root, other, links): linked weight of each member of the components in ``members`` (id, root) in component ``other``, all tiles compared that may hold a link.
+
+    Members are dealt to tiles by hash. A vector is sent once for each tile that its own meets: at most ``SPREAD`` times, or members / ``MOST`` times in components beyond that.
+    """
+    size = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    tiles = F.greatest(F.ceil(F.col("size") / MOST), F.least(F.lit(SPREAD), F.ceil(F.col("size") / tile)))
+    placed = members.join(size, "root").withColumn("t", F.pmod(F.xxhash64("id", F.lit("tile")), tiles).cast("int")).select("id", "root", "t")
     rows = written(nodes.join(placed, "id").select("root", "t", "id", "e", "weight"), "tiles")
     pairs = close_tiles(rows, threshold)
     # each tile meets each tile near it, at home as the rows that count, elsewhere as those that are counted
@@ -195,8 +236,8 @@ def enlarged(nodes: DataFrame, members: DataFrame, threshold: float, tile: int =
 
         l, r = (table.filter(pc.equal(table.column("side"), s)).combine_chunks() for s in (0, 1))
         x, y = (_unit(t.column("e").combine_chunks()) for t in (l, r))
-        near = (x @ y.T >= threshold) & (l.column("id").to_numpy()[:, None] != r.column("id").to_numpy()[None, :])
-        links = near @ r.column("weight").to_numpy()
+        own, theirs, weight = (t.column(c).to_numpy() for t, c in ((l, "id"), (r, "id"), (r, "weight")))
+        links = np.concatenate([((x[i : i + ROWS] @ y.T >= threshold) & (own[i : i + ROWS, None] != theirs[None, :])) @ weight for i in range(0, len(x), ROWS)])
         i = np.flatnonzero(links)
         return pa.table({"id": l.column("id").take(i), "root": l.column("root").take(i), "other": pa.array(np.full(len(i), key[2].as_py(), np.int64)), "links": pa.array(links[i])})
 
@@ -205,7 +246,7 @@ def enlarged(nodes: DataFrame, members: DataFrame, threshold: float, tile: int =
 
 
 def audit(nodes: DataFrame, found: DataFrame, threshold: float, size: int) -> float:
-    """Share of the links of ``size`` hash-chosen vectors that ``found`` (id, links) has, against all vectors."""
+    """Mean over ``size`` hash-chosen vectors that have links of the share of them that ``found`` (id, links) has, against all vectors."""
     import pyarrow as pa
 
     sample = nodes.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(size).select("id", "e").toArrow().combine_chunks()
@@ -221,45 +262,56 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, size: int) -> fl
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "n"])
 
     true = nodes.select("id", "e", "weight").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    row = true.join(found, "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0)))).alias("got")).first()
-    return 1.0 if not row["n"] else row["got"] / row["n"]
+    share = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("n"))
+    return true.where("n > 0").join(found, "id", "left").agg(F.coalesce(F.avg(share), F.lit(1.0)).alias("recall")).first()["recall"]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, k: int = NEIGHBOURS, seed: int = 11, wanted: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept, audit_recall: one row per vector.
 
     Null, zero and non-finite vectors, and those of another length than most, link with nothing. Vectors
-    that are equal link with each other. Rows that repeat an id are vectors of their own. An empty table gives an empty table.
+    that are equal link with each other. Rows that repeat an id, or have none, are vectors of their own; a null id is a component's id only
+    if all of its members' ids are null. An empty table gives an empty table.
     """
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e"))
-    sized = base.where(usable(F.col("e"))).groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e"))
+    sized = given.where(usable(F.col("e"))).groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = sized["d"] if sized else 0
     ok = usable(F.col("e")) & (F.size("e") == dim)
-    nodes = written(base.where(ok).groupBy("e").agg(F.min("vec_id").alias("id0"), F.count(F.lit(1)).alias("weight")).select(F.coalesce("id0", F.xxhash64("e")).alias("id"), "e", "weight"), "nodes")
+    # two hashes of 64 bits stand for a vector in joins and groups
+    given = given.select("vec_id", "e", ok.alias("ok")).withColumns({"h": F.when(F.col("ok"), F.xxhash64("e")), "g": F.when(F.col("ok"), F.xxhash64("e", F.lit("second")))})
+    found = given.where("ok").groupBy("h", "g").agg(F.min("vec_id").alias("id0"), F.count(F.lit(1)).alias("weight"), F.first("e").alias("e"))
+    nodes = written(found.select(F.col("h").alias("id"), "id0", "e", "weight", "h", "g"), "nodes")
     lists = written(start(nodes, k, ORDERS, LEAF, seed), "lists")
     for _ in range(ROUNDS):
         lists = written(refine(nodes, lists, k), "lists")
     for extra in range(MORE + 1):
-        near = lists.where(F.col("sim") >= threshold)
+        longer, full = lengthened(nodes, lists, k, threshold)
+        near = longer.where(F.col("sim") >= threshold)
         both = near.select("u", "v").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         roots = written(components(near.select(F.col("u").alias("a"), F.col("v").alias("b"))), "roots")
-        full = near.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k).select(F.col("u").alias("node"))
         large = roots.join(full, "node").select("root").distinct()
         members = roots.join(large, "root").select(F.col("node").alias("id"), "root")
-        met = written(enlarged(nodes, members, threshold), "met")
-        counted = met.groupBy("id").agg(F.sum("links").alias("links"))
-        # a full list can be filled by its own group: links between such components join them
-        joined = components(met.where("root <> other").select(F.col("root").alias("a"), F.col("other").alias("b")).distinct()).toDF("root", "top")
-        roots = written(roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
         listed = both.join(nodes.select(F.col("id").alias("v"), "weight"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("weight").alias("links"))
-        links = written(listed.join(members.select("id"), "id", "left_anti").unionByName(counted), "links")
+        if not full.isEmpty():
+            met = written(dense(nodes, members, threshold), "met")
+            counted = met.groupBy("id").agg(F.sum("links").alias("links"))
+            # a full list can be filled by its own group: links between such components join them
+            joined = components(met.where("root <> other").select(F.col("root").alias("a"), F.col("other").alias("b")).distinct()).toDF("root", "top")
+            roots = written(roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+            listed = listed.join(members.select("id"), "id", "left_anti").unionByName(counted)
+        links = written(listed, "links")
         recall = audit(nodes, links, threshold, AUDIT)
         if recall >= wanted or extra == MORE:
             break
         lists = written(refine(nodes, lists, k), "lists")
+    if recall < LEAST:
+        raise RuntimeError(f"the audit found {recall:.3f} of the links after {ROUNDS + MORE} rounds; raise k")
     classes = nodes.join(links, "id", "left").join(roots, nodes["id"] == roots["node"], "left").select(
-        F.col("e").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("_n"), F.coalesce("root", "id").alias("_root")
+        F.col("h").alias("_h"), F.col("g").alias("_g"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("_n"), F.coalesce("root", "id").alias("_root"), "id0"
     )
+    classes = written(classes, "classes")
+    least = classes.groupBy(F.col("_root").alias("_r")).agg(F.min("id0").alias("_least"))
+    classes = classes.join(least, F.col("_root") == F.col("_r")).select("_h", "_g", "_n", "_least")
     kept = F.col("component_id")
-    out = base.join(classes, F.when(ok, F.col("e")) == F.col("_e"), "left").select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_root", "vec_id").alias("component_id"))
-    return out.select("*", (F.col("vec_id") == kept).alias("kept"), F.lit(recall).alias("audit_recall"))
+    out = given.select("vec_id", "h", "g").join(classes, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left").select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_least", "vec_id").alias("component_id"))
+    return out.select("*", F.coalesce(F.col("vec_id") == kept, F.lit(False)).alias("kept"), F.lit(recall).alias("audit_recall"))

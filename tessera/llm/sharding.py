@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of the row numbering; the table of their offsets is broadcast, and never has more rows than this.
 BUCKETS = 4096
+#: Equal rows that one record stands for after the numbering.
+RUN = 4096
 ROUNDS = 6
 
 
@@ -58,8 +60,10 @@ def row_numbers(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataF
     within = Window.partitionBy("_bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     placed = groups.withColumn("_start", F.sum("_copies").over(within) - F.col("_copies"))
     placed = placed.join(F.broadcast(offsets), F.col("_bucket") == F.col("_b"))
-    first = F.col("_before") + F.col("_start")
-    return placed.select(*keys, "n", F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias("row"))
+    # many equal rows leave as runs of bounded length, dealt anew, so that no task writes them all
+    start, end = F.col("_before") + F.col("_start"), F.col("_before") + F.col("_start") + F.col("_copies") - 1
+    runs = placed.select(*keys, "n", end.alias("_end"), F.explode(F.sequence(start, end, F.lit(RUN).cast("long"))).alias("_at")).repartition("_at")
+    return runs.select(*keys, "n", F.explode(F.sequence("_at", F.least("_end", F.col("_at") + (RUN - 1)))).alias("row"))
 
 
 def shard_rows(df: DataFrame, keys: list[str], shards: int = 16, seed: int = 20240501) -> DataFrame:

@@ -181,9 +181,11 @@ class Reader:
 
 
 def opened(uri: str, mode: str = "rb"):
-    """A file at any address that Arrow's file systems know."""
+    """A file at any address that Arrow's file systems know; Hadoop's names for S3 are S3 to Arrow."""
     from pyarrow import fs
 
+    for name in ("s3a://", "s3n://"):
+        uri = uri.replace(name, "s3://", 1) if uri.startswith(name) else uri
     system, path = fs.FileSystem.from_uri(uri)
     return system.open_input_file(path) if mode == "rb" else system.open_output_stream(path)
 

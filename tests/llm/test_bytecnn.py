@@ -71,3 +71,28 @@ def test_sample_is_bounded_and_never_held_out(spark):
     assert {t.decode() for t in texts} <= free
     assert bytecnn.digest(docs.limit(0), labels.limit(0)).count() == 0
     assert {r.score for r in bytecnn.digest(docs, labels.where("quality = 1")).collect()}.pop() > 0.9
+
+
+def test_sample_stays_bounded_when_an_id_repeats(spark):
+    docs = spark.createDataFrame([(1, "x" * 500)] * 400 + [(i, f"text {i}") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(1, 1)] * 50, "doc_id long, quality int")
+    texts, marks = bytecnn.sample(docs, labels, rows=5, most=4000)
+    assert len(texts) == len(marks) <= 10 and sum(map(len, texts)) <= 4000
+
+
+def test_pooling_equals_a_plain_convolution():
+    """Every window by a loop, and the gradient by finite differences of the loss."""
+    rng = np.random.default_rng(5)
+    m = bytecnn.Model(3)
+    m.bias = rng.standard_normal(bytecnn.FILTERS).astype(np.float32) * 0.1
+    for text in (b"", b"a", b"abc abc " * 9, bytes(rng.integers(0, 256, 777).astype(np.uint8)), "é日 x x".encode() * 40):
+        s = bytecnn.symbols(text)
+        best = np.full(bytecnn.FILTERS, -np.inf)
+        for at in range(0, len(s) - bytecnn.WIDTH + 1, bytecnn.STEP):
+            best = np.maximum(best, sum(m.table[k, s[at + k]].astype(float) for k in range(bytecnn.WIDTH)))
+        want = np.maximum(best + m.bias, 0)
+        got, where = m.pooled(s)
+        assert np.allclose(got, want, atol=1e-4)
+        assert abs(m.score(text) - 1 / (1 + np.exp(-(want @ m.weight + m.offset)))) < 1e-5
+        for f in range(0, bytecnn.FILTERS, 5):
+            assert np.isclose(sum(float(m.table[k, s[where[f] + k], f]) for k in range(bytecnn.WIDTH)), best[f], atol=1e-4)

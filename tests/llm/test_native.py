@@ -164,3 +164,20 @@ def test_mixing_targets_and_taken(spark):
     out = mixing.mixed_rows(df).collect()
     assert abs(sum(len((r.text or "").split()) for r in out) - sum(want.values())) <= len(sizes) + 8
     assert set(out[0].asDict()) == {"doc_id", "source", "text"}
+
+
+def test_equal_rows_share_all_their_words(spark):
+    """A source of rows alike in id and size meets its target to the word."""
+    rows = [(7, "a b c d e f g", "x") for _ in range(40)] + [(8, "one two three", "x"), (9, "k " * 50, "y"), (None, "p q", None), (None, "r s", None), (5, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r.source: r.target for r in mixing.mix(df).collect()}
+    got = mixing.mixed_rows(df).collect()
+    for s, t in want.items():
+        assert sum(len(r.text.split()) for r in got if r.source == s) == round(t)
+    assert max(sum(r.doc_id == 7 for r in got), 0) <= 80
+
+
+def test_one_row_repeated_many_times(spark):
+    df = spark.createDataFrame([(1, "same")] * 9000 + [(i, "other") for i in range(2, 200)], "doc_id long, text string")
+    got = sharding.shard_documents(df, shards=4).collect()
+    assert len(got) == 9198 and sorted({(r.shard, r.slot) for r in got}) == sorted((s, k) for s in range(4) for k in range(9198 // 4 + (s < 9198 % 4)))

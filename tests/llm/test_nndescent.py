@@ -1,6 +1,7 @@
 """NN-descent against brute force."""
 
 import numpy as np
+import pytest
 
 from tessera.llm import nndescent
 
@@ -59,6 +60,27 @@ def test_tight_groups_near_each_other(spark, monkeypatch):
     assert {r.vec_id: r.component_id for r in got} == comp and {r.vec_id for r in got if r.kept} == {0, 40, 60}
 
 
+def test_lists_are_enlarged(spark, monkeypatch):
+    """Groups that fill a list, but not an enlarged one, need no tiles; great and small vectors keep their links."""
+    monkeypatch.setattr(nndescent, "dense", None)
+    x = cloud(400, 16, 12, 18, seed=5)
+    x[:3] *= [[1e200], [1e-200], [1e150]]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[50].tolist()), (None, x[60].tolist())]
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    n, _ = brute([(i, (v / np.abs(v).max()).tolist()) for i, v in enumerate(x)])
+    assert len(got) == 402 and max(n.values()) > nndescent.NEIGHBOURS
+    # the two rows that repeat vectors add a link to each of those vectors' neighbours
+    extra = {i: int(sum(x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= 0.95 for j in (50, 60))) for i in range(3, 400)}
+    assert all(r.n_links == n[r.vec_id] + extra[r.vec_id] for r in got if r.vec_id not in (None, 0, 1, 2, 7))
+    assert sorted((r.n_links, r.component_id) for r in got if r.vec_id in (None, 7)) == [(17, 0), (18, 7), (18, 54)]
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "audit", lambda *a: 0.5)
+    with pytest.raises(RuntimeError):
+        nndescent.near_duplicates(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(30)], "vec_id long, embedding array<double>"))
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nndescent.near_duplicates(df).count() == 0
