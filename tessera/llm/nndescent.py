@@ -3,11 +3,10 @@
 The neighbour graph starts from random hyperplane orders: along each, every vector meets those that
 stand next to it. Rounds of neighbours-of-neighbours joins then refine it: around each vector its neighbours, in
 either direction, are compared with each other, and only pairs that beat the worst entry of a list
-travel on. A list that is full of neighbours above the threshold is saturated: it may hide more. Its room is doubled, and fresh
-hyperplane orders of the saturated vectors and a round around them fill it, up to ``LONGEST``. What is still full belongs to a dense component, where lists would
-be as long as the component: its members are dealt to tiles that are compared tile by tile, within a component and between such components
-whose tiles lie near each other, and only counts leave. An audit compares a bounded sample with all vectors; further rounds run
-until its recall is high enough, and a recall that stays too low is an error.
+travel on. A list that is full of neighbours above the threshold is saturated: it may hide more, in its own component or in another
+that is saturated too. Its room is enlarged to the whole of them: members are dealt to tiles that are compared tile by tile, within a component and
+between such components whose tiles lie near each other. Lists of that room would be as long as the component, so only their counts are
+kept. An audit compares a bounded sample with all vectors; further rounds run until its recall is high enough, and a recall that stays too low is an error.
 
 Equal vectors are one node with a weight, so copies are never paired.
 """
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 from tessera.llm.graph import components
 
-#: Length of a neighbour list, and of one that was enlarged; hyperplane orders of the start, vectors compared along each.
-NEIGHBOURS, LONGEST, ORDERS, LEAF = 10, 40, 8, 32
+#: Length of a neighbour list before it is enlarged; hyperplane orders of the start, vectors compared along each.
+NEIGHBOURS, ORDERS, LEAF = 10, 8, 32
 #: A component's tiles: as many as give TILE members each, but no more than SPREAD before a tile holds MOST; tiles of a block of caps, rows of one product.
 TILE, SPREAD, MOST, BLOCK, ROWS = 256, 16, 8192, 1024, 1024
 #: The audit's sample (never more, whatever the table's size), the recall it wants, the recall below which the result is refused, and the rounds that may be added.
@@ -51,8 +50,8 @@ def _batch(rows, names=("u", "v", "sim")):
     return pa.RecordBatch.from_arrays([pa.array(r, kinds.get(n, pa.int64())) for r, n in zip(rows, names, strict=True)], list(names))
 
 
-def start(nodes: DataFrame, k: int, orders: int, leaf: int, seed: int, least: float = -2.0) -> DataFrame:
-    """First lists: the best of the vectors that stand in one leaf of a hyperplane order, of similarity above ``least``."""
+def start(nodes: DataFrame, k: int, orders: int, leaf: int, seed: int) -> DataFrame:
+    """First lists: the best of the vectors that stand in one leaf of a hyperplane order."""
     import pyarrow as pa
 
     def codes(batches):
@@ -83,7 +82,7 @@ def start(nodes: DataFrame, k: int, orders: int, leaf: int, seed: int, least: fl
                 s[ids[own][:, None] == ids[all_][None, :]] = -2  # a leaf may hold the end of one order and the start of the next
                 top = np.argsort(-s, axis=1)[:, :k]
                 for j, r in enumerate(top):
-                    r = r[s[j, r] > least]
+                    r = r[s[j, r] > -2]
                     out[0].extend([int(ids[i + j])] * len(r))
                     out[1].extend(ids[all_][r].tolist())
                     out[2].extend(s[j, r].tolist())
@@ -96,11 +95,11 @@ def start(nodes: DataFrame, k: int, orders: int, leaf: int, seed: int, least: fl
     return best(ordered.mapInArrow(leaves, ARROW), k)
 
 
-def best(pairs: DataFrame, k: int, room: int | None = None, threshold: float = 2.0) -> DataFrame:
-    """(u, v, sim) without repeats: the k most similar of each u, and up to ``room`` of them that reach the threshold."""
+def best(pairs: DataFrame, k: int) -> DataFrame:
+    """(u, v, sim) without repeats: the k most similar of each u."""
     once = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("n") <= max(k, room or k))
-    return ranked.where((F.col("n") <= k) | (F.col("sim") >= threshold)).select("u", "v", "sim")
+    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("n") <= k)
+    return ranked.select("u", "v", "sim")
 
 
 def around(lists: DataFrame, k: int) -> DataFrame:
@@ -156,24 +155,6 @@ def saturated(lists: DataFrame, room: int, threshold: float) -> DataFrame:
     return lists.where(F.col("sim") >= threshold).groupBy("u").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= room).select(F.col("u").alias("node"))
 
 
-def lengthened(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """The lists, those of saturated vectors with twice their room until they aren't full or have ``longest``; and (node) what is full even so."""
-    room = k
-    while True:
-        full = written(saturated(lists, room, threshold), "full")
-        if room >= longest or full.isEmpty():
-            return lists, full
-        room *= 2
-        below = float(np.nextafter(threshold, 0))
-        own = nodes.join(full, nodes["id"] == full["node"], "left_semi")
-        lists = written(best(lists.unionByName(start(own, room, ORDERS, max(LEAF, 2 * room), room, below)), k, room, threshold), "lists")
-        centres = full.unionByName(lists.join(full, F.col("v") == F.col("node"), "left_semi").select(F.col("u").alias("node"))).distinct()
-        near = around(lists, room).join(centres, F.col("u") == F.col("node"), "left_semi")
-        # only full lists take more, and only what reaches the threshold
-        worst = nodes.join(full, nodes["id"] == full["node"], "left").select(F.col("id").alias("m"), F.when(F.col("node").isNull(), F.lit(2.0)).otherwise(F.lit(below)).alias("worst"))
-        lists = written(best(lists.unionByName(compared(nodes, near, worst)), k, room, threshold), "lists")
-
-
 def _with_end(batches):
     yield from batches
     yield None
@@ -285,8 +266,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for _ in range(ROUNDS):
         lists = written(refine(nodes, lists, k), "lists")
     for extra in range(MORE + 1):
-        longer, full = lengthened(nodes, lists, k, threshold)
-        near = longer.where(F.col("sim") >= threshold)
+        full = written(saturated(lists, k, threshold), "full")
+        near = lists.where(F.col("sim") >= threshold)
         both = near.select("u", "v").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         roots = written(components(near.select(F.col("u").alias("a"), F.col("v").alias("b"))), "roots")
         large = roots.join(full, "node").select("root").distinct()

@@ -60,9 +60,8 @@ def test_tight_groups_near_each_other(spark, monkeypatch):
     assert {r.vec_id: r.component_id for r in got} == comp and {r.vec_id for r in got if r.kept} == {0, 40, 60}
 
 
-def test_lists_are_enlarged(spark, monkeypatch):
-    """Groups that fill a list, but not an enlarged one, need no tiles; great and small vectors keep their links."""
-    monkeypatch.setattr(nndescent, "dense", None)
+def test_repeated_ids_and_magnitudes(spark):
+    """Rows that share an id are vectors of their own; great and small vectors keep their links."""
     x = cloud(400, 16, 12, 18, seed=5)
     x[:3] *= [[1e200], [1e-200], [1e150]]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[50].tolist()), (None, x[60].tolist())]
