@@ -136,3 +136,36 @@ def normal_cdf(x):
 
 def beta_density(x, a: float, b: float):
     return _beta(x, F.lit(float(a)), F.lit(float(b)))
+
+
+def gradient_gap(f, gradient, x, step: float = 1e-6) -> float:
+    """Largest relative gap between a gradient and central differences of its function at x."""
+    x = [float(v) for v in x]
+    g, worst = gradient(x), 0.0
+    for i in range(len(x)):
+        up, down = list(x), list(x)
+        up[i] += step
+        down[i] -= step
+        d = (f(up) - f(down)) / (2 * step)
+        worst = max(worst, abs(d - g[i]) / max(1.0, abs(d), abs(g[i])))
+    return worst
+
+
+def barycentric(x, y):
+    """Weights of the corners (0, 0), (1, 0), (1/2, sqrt(3)/2) at a point, as columns."""
+    c = y / F.lit(math.sqrt(3) / 2)
+    b = x - c / 2
+    return 1 - b - c, b, c
+
+
+def uniform_product_pdf(x, n: int = 2):
+    """Density of the product of n uniforms on (0, 1)."""
+    return F.when((x > 0) & (x <= 1), F.pow(-F.ln(x), F.lit(float(n - 1))) / math.factorial(n - 1)).otherwise(F.lit(0.0))
+
+
+def uniform_product_cdf(x, n: int = 2):
+    """x times the sum of (-ln x) ** k / k! for k below n."""
+    s = F.lit(0.0)
+    for k in range(n):
+        s = s + F.pow(-F.ln(x), F.lit(float(k))) / math.factorial(k)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(x * s)

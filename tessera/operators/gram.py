@@ -146,6 +146,23 @@ def search(sums: dict[tuple[int, int], Sums], settings: list, fit, inner: int =
     return out
 
 
+def basic_search(sums: dict[int, Sums], settings: list, fit, weighted: bool = True) -> dict:
+    """Plain cross-validation from sums by split: every split scored with every setting.
+
+    ``scores``: (split, setting, mse, n); ``ranked``: (setting, mean mse), best first, a split weighing as many rows as it has (or all alike); ``best``: the first of
+    them; ``models``: each split's model refitted with it on the other splits; ``model``: the one of all rows.
+    """
+    total, scores = _total(list(sums.values())), []
+    for k, s in sorted(sums.items()):
+        train = total - s
+        scores += [(k, x, float(sse(s, fit(train, x))[0]) / s.n, s.n) for x in settings]
+    weight = {k: s.n if weighted else 1 for k, s in sums.items()}
+    mean = {x: sum(m * weight[k] for k, y, m, _ in scores if y == x) / sum(weight.values()) for x in settings}
+    ranked = sorted(mean.items(), key=lambda t: t[1])
+    best = ranked[0][0]
+    return {"scores": scores, "ranked": ranked, "best": best, "models": {k: fit(total - s, best) for k, s in sorted(sums.items())}, "model": fit(total, best)}
+
+
 def nested_ridge(df: DataFrame, features: list[str], target: str, fold: str, n_training: int = 10, alphas: tuple = ALPHAS, inner: int = 5, key: str | None = None) -> list[dict]:
     """Nested cross-validated ridge: outer folds as given, inner ones by hash of ``key`` (all columns, if there is none)."""
     keyed = df if key else df.withColumn("_key", F.xxhash64(*features, target))

@@ -195,3 +195,32 @@ def panel(df: DataFrame, key: str, column_sets: dict[str, tuple[list[str], list[
                 row = match_accuracy(got).select(F.lit(label).alias("columns"), F.lit(m).alias("metric"), F.lit(method).alias("method"), "accuracy")
                 out = row if out is None else out.unionByName(row)
     return out
+
+
+def compared(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Two matchings side by side: source, each one's target, whether they agree; a source that one lacks has no target there."""
+    x, y = (d.select("source", F.col("target").alias(f"target_{n}")) for d, n in ((a, names[0]), (b, names[1])))
+    both = x.join(y, "source", "full")
+    return both.withColumn("agree", F.col(f"target_{names[0]}").eqNullSafe(F.col(f"target_{names[1]}")))
+
+
+def group_means(residual: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """(source, target, mean of each group's residual columns that are there)."""
+    means = []
+    for name, columns in groups.items():
+        there = [F.col(c).isNotNull().cast("int") for c in columns]
+        total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in columns), F.lit(0.0))
+        means.append(F.when(sum(there, F.lit(0)) > 0, total / sum(there, F.lit(0))).alias(name))
+    return residual.select("source", "target", *means)
+
+
+def lineup_accuracies(pairs: DataFrame, by: str = "lineup") -> DataFrame:
+    """(method, accuracy): one-to-one matching, independent and greedy choice of all sources, and both for the line-up's query (its least source) alone."""
+    optimal, chosen, greedy_ = one_to_one(pairs, by=by), argmax_match(pairs, [by]), one_to_one(pairs, "greedy", by=by)
+    query = pairs.groupBy(by).agg(F.min("source").alias("source"))
+    rows = [("match", optimal), ("select", chosen), ("select_unique", greedy_), ("match_query", optimal.join(query, [by, "source"])), ("select_query", chosen.join(query, [by, "source"]))]
+    out = None
+    for name, got in rows:
+        one = match_accuracy(got, by).select(F.lit(name).alias("method"), "accuracy")
+        out = one if out is None else out.unionByName(one)
+    return out

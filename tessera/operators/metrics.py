@@ -111,3 +111,25 @@ def selection(ranks: DataFrame, n: int = 10, top: int = 5) -> DataFrame:
         F.avg((F.col("rank") <= top).cast("double")).alias("top_share"),
         F.avg(1 / F.col("rank")).alias("reciprocal_rank"),
     )
+
+
+def by_component(df: DataFrame, y: list[str], p: list[str]) -> DataFrame:
+    """(component, r2, mae, mse, n) of each of several outputs, 0-based, from one pass over rows turned into components; and "weighted", whose R2 weighs components by their variance."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(str(i)).alias("component"), F.col(a).cast("double").alias("_y"), F.col(b).cast("double").alias("_p")) for i, (a, b) in enumerate(zip(y, p, strict=True))])))
+    ok = F.col("_y").isNotNull() & F.col("_p").isNotNull()
+    one = long.where(ok).groupBy("component").agg(F.sum((F.col("_y") - F.col("_p")) ** 2).alias("sse"), F.sum(F.abs(F.col("_y") - F.col("_p"))).alias("sae"), (F.var_pop("_y") * F.count("_y")).alias("sst"), F.count("_y").alias("n"))
+    parts = one.unionByName(one.agg(F.lit("weighted").alias("component"), *[F.sum(c).alias(c) for c in ("sse", "sae", "sst", "n")]))  # one row for each component
+    return parts.select("component", (1 - F.col("sse") / F.col("sst")).alias("r2"), (F.col("sae") / F.col("n")).alias("mae"), (F.col("sse") / F.col("n")).alias("mse"), "n")
+
+
+def hybrid_score(y: Column, label: Column, probability: Column | None = None) -> Column:
+    """Minus the log-loss where there are probabilities (of label 1), else the accuracy; greater is better."""
+    if probability is None:
+        return accuracy(y, label)
+    return -log_loss(F.when(y == 1, probability).otherwise(1 - probability))
+
+
+def weighted_log_loss(df: DataFrame, p_true: str, fold: str) -> DataFrame:
+    """(log_loss, n): the folds' log-losses weighed by their sizes."""
+    each = df.groupBy(fold).agg(log_loss(F.col(p_true)).alias("_l"), F.count(F.lit(1)).alias("_n"))
+    return each.agg((F.sum(F.col("_l") * F.col("_n")) / F.sum("_n")).alias("log_loss"), F.sum("_n").alias("n"))

@@ -264,3 +264,66 @@ def symmetrised(df: DataFrame, column: str) -> DataFrame:
     from tessera.functions.columns import mirror_average
 
     return df.withColumn(column, mirror_average(F.col(column)))
+
+
+# -- whole frames -----------------------------------------------------------------------
+def drop_empty(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that lack all of these columns go."""
+    return df.dropna(how="all", subset=columns)
+
+
+def renamed(df: DataFrame, names: dict[str, str] | None = None, prefix: str = "", keep: list[str] = ()) -> DataFrame:
+    """Columns by their new names; the others but ``keep`` get the prefix."""
+    names = names or {}
+    return df.withColumnsRenamed({c: names.get(c, c if c in keep else prefix + c) for c in df.columns})
+
+
+def without(df: DataFrame, parts: list[str]) -> DataFrame:
+    """``df`` without the columns whose names contain one of the parts."""
+    return df.drop(*[c for c in df.columns if any(p in c for p in parts)])
+
+
+def limited(df: DataFrame, key: str, most: int, forced: list = ()) -> DataFrame:
+    """The forced rows, and others in order of a hash of their key until there are ``most``; forced rows always stay."""
+    must = df.where(F.col(key).isin(*forced)) if forced else df.limit(0)
+    room = max(0, most - must.count())
+    rest = df.where(~F.col(key).isin(*forced)) if forced else df
+    return must.unionByName(rest.orderBy(F.xxhash64(key), key).limit(room))
+
+
+def expanded_names(names: DataFrame, column: str, sizes: dict[str, int]) -> DataFrame:
+    """Rows of a table of names, each packed column's row once for each of its unpacked columns ``name_1`` .. ``name_k``."""
+    n = F.lit(0)
+    for c, k in sizes.items():
+        n = F.when(F.col(column) == c, k).otherwise(n)
+    at = F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(0))))
+    return names.withColumn("_i", at).withColumn(column, F.when(F.col("_i") > 0, F.concat_ws("_", column, F.col("_i").cast("string"))).otherwise(F.col(column))).drop("_i")
+
+
+def blocks(n: int, size: int) -> list[tuple[int, int]]:
+    """Intervals [start, end) of ``size`` that cover 0 .. n."""
+    return [(i, min(i + size, n)) for i in range(0, n, size)]
+
+
+def cleaned_for_models(df: DataFrame, target: str, features: list[str], rules: dict | None = None, categorical: list[str] = (), drop: float = 1.0, trim: float | None = 6.0) -> tuple[DataFrame, list[str], dict]:
+    """The whole preparation in its order: packed vectors to columns, the caller's filters, columns that are missing too often, text that is
+    numbers, categories, outliers (set to missing), then rows that lack a value. Also the features that came out, and what was done."""
+    done: dict = {"unpacked": [c for c in packed_columns(df) if c in features]}
+    if done["unpacked"]:
+        df = unpack_columns(df, done["unpacked"])
+        features = [x for c in features for x in ([u for u in df.columns if u.startswith(f"{c}_")] if c in done["unpacked"] else [c])]
+    for column, rule in (rules or {}).items():
+        df = df.where(condition(column, rule))
+    df, done["dropped"], done["missing"] = drop_missing(df, features, drop=drop)
+    features = [c for c in features if c not in done["dropped"]]
+    df, done["salvaged"] = salvage(df, [c for c in features if c not in categorical])
+    features = [c for c in features if c in df.columns]
+    for c in [c for c in features if c in categorical or done["salvaged"].get(c) == "categorical"]:
+        before = set(df.columns)
+        df = treatment_coding(df, c).drop(c)
+        features = [f for f in features if f != c] + [x for x in df.columns if x not in before]
+    numbers = [c for c, t in df.dtypes if c in features and t in ("double", "float", "int", "bigint")]
+    if trim is not None and numbers:
+        flagged = trim_outliers(df.withColumns({c: F.col(c).cast("double") for c in numbers}), numbers, trim, trim=False)
+        df = flagged.withColumns({c: F.when(~F.coalesce(f"{c}_outlier", F.lit(False)), F.col(c)) for c in numbers}).drop(*[f"{c}_outlier" for c in numbers])
+    return complete(df, [target, *features]), features, done

@@ -101,3 +101,8 @@ def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def missing_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Keys that ``df`` lacks; empty if a list of subjects is complete."""
     return keys.select(key).distinct().join(df.select(key), key, "left_anti")
+
+
+def set_feature(df: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
+    """``df`` with ``column`` from ``values`` where both have the key, null elsewhere; an old column of that name is replaced."""
+    return df.drop(column).join(values.select(key, column), key, "left")

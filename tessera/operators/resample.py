@@ -53,6 +53,33 @@ def bootstrap(df: DataFrame, key: str, baseline: str, test: str, iterations: int
     return share.select(stars.alias("stars"), "better", "worse")
 
 
+def bootstrap_of(df: DataFrame, key: str, baseline: str, tests: list[str], **how) -> DataFrame:
+    """``bootstrap`` of one test column; more or fewer are no valid comparison: no star, one half each."""
+    if len(tests) != 1:
+        return df.sparkSession.createDataFrame([("", 0.5, 0.5)], "stars string, better double, worse double")
+    return bootstrap(df, key, baseline, tests[0], **how)
+
+
+def permuted_r2(df: DataFrame, key: str, base: list[str], tested: list[str], target: str, permutations: int = 100, cells: int = 256, seed: int = 0) -> dict[str, float]:
+    """A set test: the cross-validated gain in R2 of ``tested`` over ``base``, and the share of sign-flipped cells' gains that reach it.
+
+    Rows lie in hash cells; a cell's out-of-fold gain in squared error is exchangeable in sign if the set tells nothing, so permutations need sums only.
+    """
+    from tessera.operators import gram
+
+    d = df.withColumn("_cell", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(cells)).cast("int"))
+    sums = gram.gram(d, [*base, *tested, target], "_cell")
+    total, small = gram._total(list(sums.values())), [*range(len(base)), len(base) + len(tested)]
+    gains = []
+    for s in sums.values():
+        train = total - s
+        e0 = float(gram.sse(s.pick(small), gram.ridge(train.pick(small), 1, 1e-8))[0]) if base else float(s.pick(small).raw()[0, 0] - 2 * (train.s / train.n + train.shift)[-1] * (s.s + s.n * s.shift)[-1] + s.n * (train.s / train.n + train.shift)[-1] ** 2)
+        gains.append(e0 - float(gram.sse(s, gram.ridge(train, 1, 1e-8))[0]))
+    g, rng = np.array(gains), np.random.default_rng(seed)
+    flips = rng.choice([-1, 1], (permutations, len(g))) @ g
+    return {"gain": float(g.sum() / gram.sst(total)[0]), "p": float((1 + (flips >= g.sum()).sum()) / (1 + permutations))}
+
+
 def shuffled_r2(df: DataFrame, key: str, features: list[str], target: str, frac: float = 0.9, tries: int = 20, seed: int = 1) -> dict[str, float]:
     """Mean, median and population deviation of R2 over int(tries / (1 - frac)) seeded splits.
 

@@ -70,6 +70,22 @@ def evaluate(df: DataFrame, key: str, targets: dict[str, str], sets: dict[str, l
     return out.select("target", "model", "covariates", F.round("r2", 6).alias("r2"), F.round("mae", 3).alias("mae"), F.round("mse", 0).alias("mse"), "samples", *more)
 
 
+class Wrapped:
+    """A model that carries its preparation: fitted on the prepared training rows, it predicts raw rows on the target's own scale."""
+
+    def __init__(self, train: DataFrame, features: list[str], target: str, specs: dict, alpha: float = 1.0) -> None:
+        from tessera.operators.prep import Prepared
+
+        self.features, self.target = features, target
+        self.prepared = Prepared({c: specs[c] for c in [*features, target]}, train)
+        self.inputs = Prepared({c: specs[c] for c in features}, train)
+        self.model = gram.ridge(gram.gram(self.prepared.apply(train), [*features, target])[None], 1, alpha)
+
+    def predict(self, df: DataFrame, out: str = "predicted") -> DataFrame:
+        got = self.inputs.apply(df).withColumn(out, self.model.column(self.features))
+        return self.prepared.undo(got, {out: self.target})
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested cross-validated ridge of price on quantity, discount and tax, per outer fold."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")

@@ -65,8 +65,14 @@ def two_header_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str,
 
 
 # -- sinks ------------------------------------------------------------------------
-def write_csv(df: DataFrame, path: str, append: bool = False, header: bool = True) -> None:
-    df.write.mode("append" if append else "overwrite").option("header", header).csv(path)
+def write_csv(df: DataFrame, path: str, append: bool = False, header: bool = True, sep: str = ",") -> None:
+    df.write.mode("append" if append else "overwrite").option("header", header).option("sep", sep).csv(path)
+
+
+def associations(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """Association results (variant, chrom, pos, beta, p) from CSV, or Avro where the session has that source."""
+    schema = "variant string, chrom string, pos long, beta double, p double"
+    return csv(spark, path, schema) if kind == "csv" else cleaned(spark.read.format("avro").load(path).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")]))
 
 
 def compute_once(spark: SparkSession, path: str, make) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+import tessera.plans.catalogue_queries  # noqa: F401
 import tessera.plans.cohort_queries  # noqa: F401
 import tessera.plans.model_queries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
