@@ -14,11 +14,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import boxed, unboxed
+from tessera.llm.common import boxed, give_back, unboxed
 
 #: Window, step, filters, symbols (byte and repeat bit).
 WIDTH, STEP, FILTERS, SYMBOLS = 16, 8, 16, 512
@@ -180,10 +180,12 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """``docs`` with a column of scores of whole texts; null text counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         m = shared.value
-        return pd.Series([m.score((t or "").encode()) for t in texts], dtype="float64")
+        out = pa.array([m.score(t.as_py() or b"") for t in texts.cast(pa.large_binary())], pa.float64())
+        give_back()
+        return out
 
     return docs.withColumn(out, score(F.col(text_col)))
 

@@ -53,3 +53,29 @@ def with_running(df: DataFrame, arrays: dict[str, Column], step, block: int = 64
     df = df.withColumns(add((5, lambda a, b, t, o, s, _: F.flatten(F.zip_with(o, s, scan)))))
     df = df.withColumns({n: F.when(F.size(v[0]) > block, F.flatten(F.zip_with(v[1], v[5], scan))).otherwise(scan(F.col(v[0]), zero)) for n, v in levels.items()})
     return df.drop(*[c for v in levels.values() for c in v])
+
+
+#: Rows that a worker turns into Python objects at once.
+ROWS = 512
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system: Arrow's pool, and the allocator's where it can. Workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def sliced(batches, rows: int = ROWS):
+    """Arrow batches in slices of bounded rows, so that only a slice's texts are Python objects; freed memory goes back after each batch."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        del batch
+        give_back()

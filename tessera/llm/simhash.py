@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import boxed, unboxed, written
+from tessera.llm.common import boxed, sliced, unboxed, written
 from tessera.llm.graph import components
 
 BITS = 64
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
             fps = np.array([fingerprint(t or b"", shingle) for t in (x.as_py() for x in texts)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
@@ -259,7 +259,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     from xxhash import xxh64_intdigest
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [[], [], [], []]
             for t in batch.column(2).cast(pa.large_binary()).to_pylist():
                 h = shingles(t or b"", shingle)
@@ -399,7 +399,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     held = written(nodes.join(wanted, F.col("node") == F.col("n"), "left_semi").select(F.col("id").alias("i"), F.col("c").alias("k"), "node"), "held")
 
     def sets(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             blobs = [shingles(t or b"", shingle).tobytes() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["node", "members"])
 
@@ -410,8 +410,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     def verify(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) if len(v.as_buffer()) else np.zeros(0, np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))

@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: Chunks that a worker remembers; beyond it, those seen once go first. Bounds its memory, changes no result.
-MEMO = 1_400_000
+MEMO = 1_000_000
 #: The end of a document.
 END = 2
 
@@ -339,14 +339,16 @@ def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.nda
     return np.where(h == 0, np.uint64(1), h)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int | None = None) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path, memo or MEMO)
+    if key not in _encoders:
+        _encoders.clear()  # one at a time
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def forget() -> None:
@@ -379,9 +381,9 @@ def segments(text: bytes, size: int = SLICE) -> list[bytes]:
     return out
 
 
-def encode_docs(path: str, texts: list[bytes]):
+def encode_docs(path: str, texts: list[bytes], memo: int | None = None):
     """Yield the ids of each text in turn, as uint16 arrays without the end id."""
-    enc, at = encoder(path), 0
+    enc, at = encoder(path, memo), 0
     while at < len(texts):
         upto, total = at, 0
         while upto < len(texts) and (upto == at or total + len(texts[upto]) <= SLICE):
