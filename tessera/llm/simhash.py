@@ -212,8 +212,13 @@ def digest(docs: DataFrame, **how) -> DataFrame:
 LANES, SEGMENTS, WIDTH = 2, 7, 18
 #: Words of a shingle and least similarity of two sets of shingles, unless a caller says otherwise.
 WORDS, SIMILAR = 5, 0.8
-#: Texts that one value of a segment may bring to one task.
-HOT = 20_000
+#: Texts that one value of a segment may bring to one task; rows (ids and hashes, about 100 bytes each) that are broadcast at most.
+HOT, FEW = 20_000, 400_000
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """A written table of ids and hashes, broadcast if it has been counted small; beyond that texts are shuffled to it."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def shingles(text: bytes, shingle: int = WORDS) -> np.ndarray:
@@ -404,7 +409,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["node", "members"])
 
     texts = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text"))
-    texts = texts.join(held, F.col("id").eqNullSafe(F.col("i")) & (F.col("c") == F.col("k"))).select("node", "text")
+    texts = texts.join(_sent(held), F.col("id").eqNullSafe(F.col("i")) & (F.col("c") == F.col("k"))).select("node", "text")
     members = written(texts.mapInArrow(sets, "node long, members binary").groupBy("node").agg(F.first("members").alias("members")), "members")
 
     def verify(batches):
@@ -434,6 +439,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     key = _row_key(id_col, text_col)
     keyed = boxed(docs, id=key[0], c=key[1])
     on = F.col("id").eqNullSafe(F.col("i")) & (F.col("c") == F.col("k"))
-    single = keyed.join(kept.where("n = 1"), on, "left_semi")
-    copies = keyed.join(kept.where("n > 1"), on, "left_semi").groupBy("id", "c").agg(F.first("_row").alias("_row"))
+    single = keyed.join(_sent(kept.where("n = 1")), on, "left_semi")
+    copies = keyed.join(_sent(kept.where("n > 1")), on, "left_semi").groupBy("id", "c").agg(F.first("_row").alias("_row"))
     return unboxed(single.select("_row").unionByName(copies.select("_row")), docs.columns)

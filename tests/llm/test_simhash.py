@@ -101,8 +101,9 @@ def near_copies(rng, base, n, most, words=300):
 
 
 @pytest.mark.parametrize("hot", [20_000, 30])
-def test_one_of_each_group_of_similar_texts(spark, hot):
+def test_one_of_each_group_of_similar_texts(spark, hot, monkeypatch):
     """Against all pairs of texts by brute force; with frequent values of a segment dealt out, too."""
+    monkeypatch.setattr(simhash, "FEW", hot)  # the smaller one: nothing is broadcast
     rng = random.Random(hot)
     word = lambda: rng.choice("abcdefghij") + str(rng.randint(0, 999))
     rows = []
