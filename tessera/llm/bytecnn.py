@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import boxed, give_back, unboxed
+from tessera.llm.common import boxed, give_back, small_batches, unboxed
 
 #: Window, step, filters, symbols (byte and repeat bit).
 WIDTH, STEP, FILTERS, SYMBOLS = 16, 8, 16, 512
@@ -187,7 +187,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         give_back()
         return out
 
-    return docs.withColumn(out, score(F.col(text_col)))
+    return small_batches(docs).withColumn(out, score(F.col(text_col)))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

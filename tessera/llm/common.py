@@ -57,6 +57,16 @@ def with_running(df: DataFrame, arrays: dict[str, Column], step, block: int = 64
 
 #: Rows that a worker turns into Python objects at once.
 ROWS = 512
+#: Bytes of an Arrow batch.
+BATCH = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold BATCH bytes at most unless it says otherwise: 10,000 whole texts at once take much of an executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df
 
 
 def give_back() -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.common import give_back, sliced
+from tessera.llm.common import give_back, sliced, small_batches
 
 LENGTH = 1024
 #: Bytes of text whose pieces are packed together; tasks that pack at most (each packs its groups in turn); bytes of ids that leave the encoder at once.
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str =
             yield table(rows)
 
     schema = PIECES + (", ids binary" if with_ids else "") + ", split int"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def pack(parts: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import boxed, sliced, unboxed, written
+from tessera.llm.common import boxed, sliced, small_batches, unboxed, written
 from tessera.llm.graph import components
 
 BITS = 64
@@ -273,7 +273,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                     column.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(r, pa.int64()) for r in rows]], ["id", "c", "node", "size", "f0", "f1"])
 
-    return docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, "id long, c long, node long, size long, f0 long, f1 long")
+    return small_batches(docs).select(*_row_key(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, "id long, c long, node long, size long, f0 long, f1 long")
 
 
 def _leaders(bits: int):
