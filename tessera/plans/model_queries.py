@@ -165,49 +165,52 @@ def parameter_grid(spark, d):
     return resample.grid(spark, {"alpha": [0.1, 1.0, 10.0], "solver": ["gram", "svd"]})
 
 
-# -- ranking and matching on a bounded sample of vectors ---------------------------------
-def _sample(spark, d):
-    """The first 60 vectors: all pairs of a bounded sample are the operator's input."""
-    return table(spark, d, "embeddings").where("vec_id < 60").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+# -- ranking and matching: a stated query set (ids divisible by 50) against all vectors ---------
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
-_S = "(select vec_id, embedding::double[] as v from embeddings where vec_id < 60)"
-_D = f"(select a.vec_id as source, b.vec_id as target, list_distance(a.v, list_transform(b.v, lambda x: x * 0.5)) as distance from {_S} a, {_S} b)"
+def _queries(spark, d):
+    return _vectors(spark, d).where("vec_id % 50 = 0")
 
 
-@query(f"select a.vec_id as source, b.vec_id as target, round(1 - list_cosine_similarity(a.v, b.v), 6) + 0.0 as distance from {_S} a, {_S} b")
+_T = "(select vec_id, embedding::double[] as v from embeddings)"
+_S = "(select vec_id, embedding::double[] as v from embeddings where vec_id % 50 = 0)"
+_D = f"(select a.vec_id as source, b.vec_id as target, list_distance(a.v, list_transform(b.v, lambda x: x * 0.5)) as distance from {_S} a, {_T} b)"
+
+
+@query(f"select a.vec_id as source, b.vec_id as target, round(1 - list_cosine_similarity(a.v, b.v), 6) + 0.0 as distance from {_S} a, {_T} b")
 def pairs_cosine(spark, d):
-    p = match.all_pairs(_sample(spark, d), _sample(spark, d), "vec_id", "v", "cosine")
+    p = match.all_pairs(_queries(spark, d), _vectors(spark, d), "vec_id", "v", "cosine")
     return p.withColumn("distance", r("distance") + 0.0)
 
 
-@query(f"select a.vec_id as source, b.vec_id as target, round(list_distance(a.v, b.v), 6) as distance from {_S} a, {_S} b")
+@query(f"select a.vec_id as source, b.vec_id as target, round(list_distance(a.v, b.v), 6) as distance from {_S} a, {_T} b")
 def pairs_euclidean(spark, d):
-    return match.all_pairs(_sample(spark, d), _sample(spark, d), "vec_id", "v", "Euclidean").withColumn("distance", r("distance"))
+    return match.all_pairs(_queries(spark, d), _vectors(spark, d), "vec_id", "v", "Euclidean").withColumn("distance", r("distance"))
 
 
-@query(f"select a.vec_id as source, b.vec_id as target, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))), 6) as distance from {_S} a, {_S} b")
+@query(f"select a.vec_id as source, b.vec_id as target, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))), 6) as distance from {_S} a, {_T} b")
 def pairs_manhattan(spark, d):
-    return match.all_pairs(_sample(spark, d), _sample(spark, d), "vec_id", "v", "Manhattan").withColumn("distance", r("distance"))
+    return match.all_pairs(_queries(spark, d), _vectors(spark, d), "vec_id", "v", "Manhattan").withColumn("distance", r("distance"))
 
 
-@query(f"select a.vec_id as source, b.vec_id as target, round(list_distance(a.v[1:16], b.v[1:16]) / 16 + list_distance(a.v[17:64], b.v[17:64]) / 48, 6) as distance from {_S} a, {_S} b")
+@query(f"select a.vec_id as source, b.vec_id as target, round(list_distance(a.v[1:16], b.v[1:16]) / 16 + list_distance(a.v[17:64], b.v[17:64]) / 48, 6) as distance from {_S} a, {_T} b")
 def pairs_grouped_distance(spark, d):
-    a, b = _sample(spark, d).toDF("source", "a"), _sample(spark, d).toDF("target", "b")
+    a, b = _queries(spark, d).toDF("source", "a"), _vectors(spark, d).toDF("target", "b")
     return a.crossJoin(b).select("source", "target", r(match.grouped_distance(F.col("a"), F.col("b"), [(0, 16), (16, 48)])).alias("distance"))
 
 
-@query("select a.s_suppkey as source, b.s_suppkey as target, round(abs(a.s_acctbal - b.s_acctbal) ^ 2, 2) as s_acctbal from supplier a, supplier b where a.s_suppkey < 30 and b.s_suppkey < 30")
+@query("select a.s_suppkey as source, b.s_suppkey as target, round(abs(a.s_acctbal - b.s_acctbal) ^ 2, 2) as s_acctbal from supplier a, supplier b where a.s_suppkey % 50 = 0")
 def residual_pairs(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey < 30")
-    return match.residuals(s, s, "s_suppkey", ["s_acctbal"], 2).withColumn("s_acctbal", r("s_acctbal", 2))
+    s = table(spark, d, "supplier")
+    return match.residuals(s.where("s_suppkey % 50 = 0"), s, "s_suppkey", ["s_acctbal"], 2).withColumn("s_acctbal", r("s_acctbal", 2))
 
 
 def _scored(spark, d):
-    """Halved vectors searched among the whole ones."""
-    s = _sample(spark, d)
-    half = s.select("vec_id", F.transform("v", lambda x: x * 0.5).alias("v"))
-    return match.all_pairs(s, half, "vec_id", "v", "Euclidean")
+    """Each query's vector searched among all vectors, halved."""
+    half = _vectors(spark, d).select("vec_id", F.transform("v", lambda x: x * 0.5).alias("v"))
+    return match.all_pairs(_queries(spark, d), half, "vec_id", "v", "Euclidean")
 
 
 _RANK = f"(select source, rank() over w as k, target, row_number() over (partition by source order by distance, target) as o, count(*) over (partition by source) as n, count(*) over (partition by source order by distance) as u from {_D} window w as (partition by source order by distance))"
