@@ -118,11 +118,11 @@ def exclude_values(spark, d):
     return prep.query(table(spark, d, "orders"), ["o_orderkey"], {"o_orderstatus": [(None, "!="), (["P"], "!in")]})
 
 
-@query("select l_quantity, l_discount, l_tax from lineitem where l_quantity < 3")
+@query("select l_quantity, l_discount, l_tax from lineitem")
 def select_columns_by_pattern(spark, d):
     li = table(spark, d, "lineitem")
     cols = prep.columns_like(li.columns, prep.any_of(["quantity$", "^l_(discount|tax)"]), ["ship"])
-    return li.select(*cols).where("l_quantity < 3")
+    return li.select(*cols)
 
 
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
@@ -185,9 +185,9 @@ def categorical_coding(spark, d):
     return prep.treatment_coding(c, "c_mktsegment", levels=levels).drop("c_mktsegment")
 
 
-@query("select l_orderkey, l_linenumber, (l_returnflag = 'N')::double as l_returnflag_N, (l_returnflag = 'R')::double as l_returnflag_R, (l_returnflag = 'N')::double * l_tax as l_returnflag_N__l_tax, (l_returnflag = 'R')::double * l_tax as l_returnflag_R__l_tax from lineitem where l_quantity < 5")
+@query("select l_orderkey, l_linenumber, (l_returnflag = 'N')::double as l_returnflag_N, (l_returnflag = 'R')::double as l_returnflag_R, (l_returnflag = 'N')::double * l_tax as l_returnflag_N__l_tax, (l_returnflag = 'R')::double * l_tax as l_returnflag_R__l_tax from lineitem")
 def categorical_interactions(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity < 5").select("l_orderkey", "l_linenumber", "l_returnflag", "l_tax")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_tax")
     return prep.treatment_coding(li, "l_returnflag", ["l_tax"], ["A", "N", "R"]).drop("l_returnflag", "l_tax")
 
 
@@ -285,9 +285,9 @@ def json_extract(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("int")).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("select l_orderkey, l_linenumber, name, round(value, 6) as value from (unpivot (select l_orderkey, l_linenumber, l_quantity, l_discount, l_tax from lineitem where l_quantity < 3) on l_quantity, l_discount, l_tax into name name value value)")
+@query("select l_orderkey, l_linenumber, name, round(value, 6) as value from (unpivot (select l_orderkey, l_linenumber, l_quantity, l_discount, l_tax from lineitem) on l_quantity, l_discount, l_tax into name name value value)")
 def unpivot_columns(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity < 3").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     return li.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "name", "value").withColumn("value", r("value"))
 
 
@@ -322,10 +322,10 @@ def full_outer_concat(spark, d):
     return relate.outer_concat(a, c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("y")), "k").select("k", "x", "y")
 
 
-@query("select a.l_orderkey, a.l_linenumber, b.l_tax from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber where a.l_quantity < 3")
+@query("select a.l_orderkey, a.l_linenumber, b.l_tax from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber")
 def composite_key_join(spark, d):
     li = table(spark, d, "lineitem")
-    return relate.composite(li.where("l_quantity < 3").select("l_orderkey", "l_linenumber"), li.select("l_orderkey", "l_linenumber", "l_tax"), ["l_orderkey", "l_linenumber"])
+    return relate.composite(li.select("l_orderkey", "l_linenumber"), li.select("l_orderkey", "l_linenumber", "l_tax"), ["l_orderkey", "l_linenumber"])
 
 
 _RANGES = "(select p_brand as chrom, min(p_partkey) as s, min(p_partkey) + 40 as e from part group by 1)"
@@ -420,9 +420,9 @@ def lookup_chain(spark, d):
     return table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.first("r_name").alias("r_name"), F.count(F.lit(1)).alias("customers"))
 
 
-@query("select l_orderkey, l_linenumber from (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as k from lineitem where l_quantity < 10) where (k - 1) % 5 = 0")
+@query("select l_orderkey, l_linenumber from (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as k from lineitem) where (k - 1) % 5 = 0")
 def every_kth_row(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity < 10")
+    li = table(spark, d, "lineitem")
     p = folds.positions(li, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return p.where("position % 5 = 0").select("l_orderkey", "l_linenumber")
 
