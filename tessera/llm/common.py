@@ -83,9 +83,11 @@ def give_back() -> None:
 
 
 def sliced(batches, rows: int = ROWS):
-    """Arrow batches in slices of bounded rows, so that only a slice's texts are Python objects; freed memory goes back after each batch."""
-    for batch in batches:
+    """Arrow batches in slices of bounded rows, so that only a slice's texts are Python objects; freed memory goes back after every 16 batches and in the end."""
+    for n, batch in enumerate(batches, 1):
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
         del batch
-        give_back()
+        if n % 16 == 0:
+            give_back()
+    give_back()

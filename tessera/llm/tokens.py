@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: Chunks that a worker remembers; beyond it, those seen once go first. Bounds its memory, changes no result.
-MEMO = 1_000_000
+MEMO = 1_400_000
 #: The end of a document.
 END = 2
 
