@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import scratch
 from tessera.functions import columns
 from tessera.operators import folds, gram, relate, resample
-from tessera.plans import harness
+from tessera.plans import cohort_queries, harness
 
 
 @pytest.mark.parametrize("parts", [3, 16])
@@ -119,3 +120,46 @@ def test_shared_folder_keeps_its_file_system(spark):
     p, _ = scratch._path(spark, "/checkpoints/x")
     assert p.toString().endswith(":/checkpoints/x")
     assert scratch._path(spark, "file:///tmp/y")[0].toString() == "file:/tmp/y"
+
+
+def _together_by_sets(rows):
+    fam = [(k, {k, *(r or [])}) for k, r in rows]
+    return sorted((k, r) for k, f in fam for r in f for o, g in fam if r == o != k and f != g)
+
+
+def test_families_that_differ_are_found_from_both_forms_of_lists(spark):
+    """Own lists and shared lists, with rows that their list leaves out, against all pairs of sets."""
+    lists = {1: ["a", "b", "c"], 2: ["d", "e"], 3: ["d", "e", "f"], 4: ["g", "zz"], 5: None}
+    keys = [("a", 1), ("b", 1), ("c", 1), ("d", 2), ("f", 2), ("e", 3), ("g", 4), ("h", 4), ("i", 5), ("a", 1)]
+    shared = spark.createDataFrame(list(lists.items()), "g int, rel array<string>")
+    rows = spark.createDataFrame(keys, "k string, g int")
+    want = _together_by_sets([(k, lists[g]) for k, g in keys])
+    assert want and not any("a" in p for p in want)
+    for found in (folds.check_together(rows, "k", ["rel"], shared, "g"), folds.check_together(rows.join(shared, "g"), "k", ["rel"])):
+        assert sorted(map(tuple, found.collect())) == want
+
+
+@pytest.fixture(scope="module")
+def large_families(tmp_path_factory):
+    """25 families of 400: lists in each row met all of their members' lists, 4 million pairs of lists of 400."""
+    top = str(tmp_path_factory.mktemp("families"))
+    duckdb.sql(f"copy (select (i + 1)::bigint as s_suppkey, (i % 25)::int as s_nationkey from range(10000) t(i)) to '{top}/supplier.parquet' (format parquet)")
+    return top
+
+
+def _rows_between(df):
+    """The most rows that one operator of the executed plan puts out."""
+    df.collect()
+    plans, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        plans += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else []
+        plans += [p.children().apply(i) for i in range(p.children().size())]
+        m = p.metrics().get("numOutputRows")
+        most = max(most, m.get().value() if m.isDefined() else 0)
+    return most
+
+
+def test_violations_in_large_families_need_no_pairs(spark, large_families):
+    found = cohort_queries.folds_together_violations(spark, large_families)
+    assert _rows_between(found) <= 20_000 and found.isEmpty()
