@@ -11,6 +11,8 @@ from tessera import scratch
 from tessera.functions import columns
 from tessera.operators import folds, gram, relate, resample
 from tessera.plans import cohort_queries, harness
+from tessera.plans.registry import ORACLES
+from tests.oracle import differ
 
 
 @pytest.mark.parametrize("parts", [3, 16])
@@ -163,3 +165,18 @@ def _rows_between(df):
 def test_violations_in_large_families_need_no_pairs(spark, large_families):
     found = cohort_queries.folds_together_violations(spark, large_families)
     assert _rows_between(found) <= 20_000 and found.isEmpty()
+
+
+def connect_supplier(folder):
+    con = duckdb.connect()
+    con.sql(f"create view supplier as select * from '{folder}/supplier.parquet'")
+    return con
+
+
+def test_masked_folds_check_large_families_without_pairs(spark, large_families, monkeypatch):
+    made, check = [], folds.check_together
+    monkeypatch.setattr(folds, "check_together", lambda *a: made.append(check(*a)) or made[-1])
+    got = cohort_queries.folds_family_training_mask(spark, large_families)
+    assert len(made) == 1 and _rows_between(made[0]) <= 20_000
+    con = connect_supplier(large_families)
+    assert differ(got, con, ORACLES["folds_family_training_mask"]) is None
