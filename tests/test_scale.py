@@ -180,3 +180,12 @@ def test_masked_folds_check_large_families_without_pairs(spark, large_families,
     assert len(made) == 1 and _rows_between(made[0]) <= 20_000
     con = connect_supplier(large_families)
     assert differ(got, con, ORACLES["folds_family_training_mask"]) is None
+
+
+def test_kept_folds_check_large_families_without_pairs(spark, large_families, monkeypatch):
+    made, check = [], folds.check_together
+    monkeypatch.setattr(folds, "check_together", lambda *a: made.append(check(*a)) or made[-1])
+    got = cohort_queries.folds_keep_together(spark, large_families)
+    assert len(made) == 1 and _rows_between(made[0]) <= 20_000
+    con = connect_supplier(large_families)
+    assert differ(got, con, ORACLES["folds_keep_together"]) is None
