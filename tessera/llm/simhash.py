@@ -13,6 +13,10 @@ segments, each indexed once for each of its bits, with that bit left out: texts
 segment with probability 0.82, of 0.9 with 0.98, of 0.95 with 0.999. Equal keys propose pairs, the whole distance keeps those that can be similar
 enough, and the sets themselves decide. Within a key every text is compared with the key's leaders (texts that had no leader near
 them), so copies make rows, not pairs; a segment's value that many texts have is dealt out over several tasks, whose leaders then meet.
+
+What fingerprints and leaders miss is found without chance: with shingles in one order for all texts, two sets of size n and similarity t
+have their first common shingle among the first n - ceil(t n) + 1 of each. Texts that share one of these and are not linked so far
+are compared; the order puts frequent shingles last, so that they are few.
 """
 
 from __future__ import annotations
@@ -214,6 +218,8 @@ LANES, SEGMENTS, WIDTH = 2, 7, 18
 WORDS, SIMILAR = 5, 0.8
 #: Texts that one value of a segment may bring to one task; rows (ids and hashes, about 100 bytes each) that are broadcast at most.
 HOT, FEW = 20_000, 400_000
+#: One of so many texts is counted to put frequent shingles last, and the most shingles that are put last. Any order gives the same links.
+COUNTED, LAST = 16, 200_000
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -383,6 +389,105 @@ def candidates(nodes: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
     return written(met.where("b is not null").select("a", "b").unionByName(again.select("a", "b")).distinct(), "pairs")
 
 
+def _frequent(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that some texts share, sorted, and the logarithm of how often: their place in the order, after all others."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in sliced(batches):
+            found = [shingles(t or b"", shingle) for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    texts = small_batches(docs).select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0)
+    counts = texts.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(LAST)
+    found = counts.toArrow()
+    h = found.column("h").to_numpy().view(np.uint64)
+    by = np.argsort(h)
+    return h[by], np.log2(found.column("count").to_numpy()[by]).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's shingles, as many as must hold one of every set of at least ``similarity``."""
+    rank = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        rank = np.where(frequent[at] == hashes, place[at], 0)
+    return hashes[np.lexsort((hashes, rank))][: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+
+
+def _meeting(similarity: float):
+    """A function of Arrow batches sorted by key and root: pairs (a, b) of different roots that can have the key as their first common shingle and be similar enough."""
+    import pyarrow as pa
+
+    def pairs(key, root, node, before, size, at):
+        def can(i, j):
+            first = (before[i] != before[j]) | (at[i] == 0) | (at[j] == 0)  # else the shingle before is common, too
+            room = np.minimum(size[i] - at[i], size[j] - at[j]) * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-9
+            return (root[i] != root[j]) & first & room
+
+        def out(i, j):
+            found = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        sizes, mixed = ends - starts, root[starts] != root[ends - 1]
+        end = np.repeat(ends, sizes)
+        i, step, hits = np.flatnonzero(np.repeat(mixed & (sizes <= 64), sizes)), 1, []
+        while len(i := i[i + step < end[i]]):
+            hit = i[can(i, i + step)]
+            hits.append((hit, hit + step))
+            step += 1
+        if hits:
+            yield out(*map(np.concatenate, zip(*hits, strict=True)))
+        for g in np.flatnonzero(mixed & (sizes > 64)).tolist():
+            b, e = int(starts[g]), int(ends[g])
+            for c in range(b, e, 64):
+                rows = np.arange(c, min(c + 64, e))[:, None]
+                # rows of one root pass over the rest of that root
+                low = c if root[c] != root[rows[-1, 0]] else b + int(np.searchsorted(root[b:e], root[c], "right"))
+                for d in range(low, e, 8192):
+                    others = np.arange(d, min(d + 8192, e))[None, :]
+                    r, o = np.nonzero(can(rows, others) & (rows < others))
+                    if len(r):
+                        yield out(rows[r, 0], others[0, o])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(c).to_numpy() for c in ("key", "root", "node", "before", "size", "at")]
+            own = [np.concatenate(x) for x in zip(held, own, strict=True)] if held else own
+            cut = int(np.searchsorted(own[0], own[0][-1]))  # the last key may go on
+            held = [x[cut:] for x in own]
+            if cut:
+                yield from pairs(*[x[:cut] for x in own])
+        if held:
+            yield from pairs(*held)
+
+    return run
+
+
+def unlinked(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different roots among which are all pairs of at least ``similarity``. ``texts``: (node, root, text)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in sliced(batches):
+            nodes, roots = (batch.column(c).to_numpy() for c in ("node", "root"))
+            sets = [shingles(t or b"", shingle) for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
+            firsts = [prefix(h, *frequent, similarity) for h in sets]
+            n = [len(f) for f in firsts]
+            before = [np.r_[np.uint64(0), f[:-1]][: len(f)] for f in firsts]
+            columns = [np.concatenate(firsts).view(np.int64), np.repeat(roots, n), np.repeat(nodes, n), np.concatenate(before).view(np.int64)]
+            columns += [np.repeat([len(h) for h in sets], n).astype(np.int32), np.concatenate([np.arange(k) for k in n]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "root", "node", "before", "size", "at"])
+
+    dealt = texts.mapInArrow(run, "key long, root long, node long, before long, size int, at int").repartition("key").sortWithinPartitions("key", "root")
+    return written(dealt.mapInArrow(_meeting(similarity), "a long, b long").distinct(), "unlinked")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILAR, hot: int = HOT) -> DataFrame:
     """(id, c, root) of each row: c is a hash of the text; rows whose texts are linked by sets of shingles of at least ``similarity`` (Jaccard) share the root.
 
@@ -400,29 +505,39 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     size = nodes.select("node", "size")
     sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
     pairs = written(sized.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity).select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-    held = written(nodes.join(wanted, F.col("node") == F.col("n"), "left_semi").select(F.col("id").alias("i"), F.col("c").alias("k"), "node"), "held")
-
     def sets(batches):
         for batch in sliced(batches):
             blobs = [shingles(t or b"", shingle).tobytes() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["node", "members"])
 
-    texts = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text"))
-    texts = texts.join(_sent(held), F.col("id").eqNullSafe(F.col("i")) & (F.col("c") == F.col("k"))).select("node", "text")
-    members = written(texts.mapInArrow(sets, "node long, members binary").groupBy("node").agg(F.first("members").alias("members")), "members")
-
     def verify(batches):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) if len(v.as_buffer()) else np.zeros(0, np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    met = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    roots = components(written(met.mapInArrow(verify, "a long, b long"), "linked"))
+    all_texts = docs.select(*_row_key(id_col, text_col), F.col(text_col).alias("text"))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("c") == F.col("k"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
+        held = written(nodes.join(wanted, F.col("node") == F.col("n"), "left_semi").select(F.col("id").alias("i"), F.col("c").alias("k"), "node"), "held")
+        texts = all_texts.join(_sent(held), same).select("node", "text")
+        members = written(texts.mapInArrow(sets, "node long, members binary").groupBy("node").agg(F.first("members").alias("members")), "members")
+        met = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return written(met.mapInArrow(verify, "a long, b long"), "linked")
+
+    linked = verified(pairs)
+    roots = components(linked)
+    rooted = nodes.where("size > 0").join(roots.toDF("n", "root"), F.col("node") == F.col("n"), "left")
+    rooted = written(rooted.select(F.col("id").alias("i"), F.col("c").alias("k"), "node", F.coalesce("root", "node").alias("root")), "rooted")
+    texts = all_texts.join(_sent(rooted), same).select("node", "root", "text")
+    more = verified(unlinked(texts, _frequent(docs, text_col, shingle), shingle, similarity))
+    if not more.isEmpty():
+        roots = components(linked.unionByName(more))
     return rows.join(roots, rows["node"] == roots["node"], "left").select("id", "c", F.coalesce("root", rows["node"]).alias("root"))
 
 

@@ -149,6 +149,39 @@ def test_signatures_find_pairs_as_promised(spark):
     assert len(set(root.values())) >= len(pairs)
 
 
+def test_no_pair_of_least_similarity_is_left_out(spark, monkeypatch):
+    """Pairs of exactly 0.8 (96 shingles of 120), and just below it (96 of 121); half of the texts share a passage."""
+    monkeypatch.setattr(simhash, "COUNTED", 1)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    shared, rows, want = [word() for _ in range(30)], [], []
+    for i in range(200):
+        base = [word() for _ in range(70)]
+        base = base + shared if i % 2 else base + [word() for _ in range(30)]
+        tail = [word() for _ in range(24 + (i % 4 == 3))]  # 96 of 120, or of 121
+        pair = [" ".join(base), " ".join(base + tail)]
+        want.append(jaccard(*pair) >= 0.8)
+        rows += pair
+    assert want == [i % 4 != 3 for i in range(200)] and any(jaccard(rows[2 * i], rows[2 * i + 1]) == 0.8 for i in range(200))
+    got = {r.id: r.root for r in simhash.similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[2 * i] == got[2 * i + 1] for i in range(200)] == want
+    assert len(set(got.values())) == len(rows) - sum(want)
+
+
+def test_pairs_that_meet_in_large_keys():
+    """All pairs of different roots that can be similar, whatever the groups' sizes and the batches' cuts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    rows = sorted((int(k), int(r), n, int(b), 10, int(at)) for n, (k, r, b, at) in enumerate(zip(np.repeat([3, 4, 9], [30, 300, 5]), rng.integers(0, 9, 335) ** 2 // 9, rng.integers(0, 3, 335), rng.integers(0, 3, 335), strict=True)))
+    can = lambda x, y: x[1] != y[1] and (x[3] != y[3] or not x[5] or not y[5]) and (10 - max(x[5], y[5])) * 1.8 >= 16
+    want = {tuple(sorted((x[2], y[2]))) for i, x in enumerate(rows) for y in rows[:i] if x[0] == y[0] and can(x, y)}
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["key", "root", "node", "before", "size", "at"])
+    for cut in (400, 37):
+        got = [(a, b) for x in simhash._meeting(0.8)(iter([batch.slice(i, cut) for i in range(0, 335, cut)])) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+        assert want and set(got) == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(7, 7), (None, 3), (500, 499)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
