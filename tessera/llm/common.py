@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.scratch import folder as shared_folder  # noqa: F401  others import them from here
-from tessera.scratch import new_path, remove, written  # noqa: F401
+from tessera.scratch import new_path, remove, settled, written  # noqa: F401
 
 #: ASCII white space; what lies between is a word.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -16,7 +16,11 @@ them), so copies make rows, not pairs; a segment's value that many texts have is
 
 What fingerprints and leaders miss is found without chance: with shingles in one order for all texts, two sets of size n and similarity t
 have their first common shingle among the first n - ceil(t n) + 1 of each. Texts that share one of these and are not linked so far
-are compared; the order puts frequent shingles last, so that they are few.
+are compared; the order puts frequent shingles last, so that they are few. Where many texts share such a shingle they aren't made into pairs:
+they come together with the parities of their sets.
+
+Before sets are read, parities are: a set's elements are dealt over a power of two of bits, and a bit is 1 if an odd number came to it. Parities of two
+sets differ in at most as many bits as the sets in elements, so pairs that differ in more bits than similar sets may are left out without loss.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import boxed, sliced, small_batches, unboxed, written
+from tessera.llm.common import boxed, settled, sliced, small_batches, unboxed, written
 from tessera.llm.graph import components
 
 BITS = 64
@@ -220,6 +224,8 @@ WORDS, SIMILAR = 5, 0.8
 HOT, FEW = 20_000, 400_000
 #: One of so many texts is counted to put frequent shingles last, and the most shingles that are put last. Any order gives the same links.
 COUNTED, LAST = 16, 200_000
+#: Texts that share a shingle and are made into pairs at once, and, where more share it, texts of a tile.
+MEET, TILE = 64, 2048
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -259,31 +265,60 @@ def signature(hashes: np.ndarray, lanes: int = LANES) -> list[int]:
     return out
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """Of each of at least 64 bits, a power of two from twice the set's size on, whether an odd number of members is dealt to it."""
+    m = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(bits: list[bytes], size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the parities and sizes of sets ``i`` and ``j`` (places in ``bits``) allow that similarity; never false for sets that have it."""
+    length, ok = np.fromiter(map(len, bits), np.int64, len(bits)) // 8, np.zeros(len(i), bool)
+    least = np.minimum(length[i], length[j])
+    most = (size[i].astype(np.int64) + size[j]) * (1 - similarity) / (1 + similarity) + 1e-6
+    for n in np.unique(least).tolist():
+        at = np.flatnonzero(least == n)
+        used = np.unique(np.r_[i[at], j[at]])
+        # a longer parity is folded: bits that the shorter one does not tell apart are added
+        words = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[k], np.uint64).reshape(-1, n), axis=0) for k in used.tolist()])
+        x, y, step = np.searchsorted(used, i[at]), np.searchsorted(used, j[at]), max(1, (1 << 19) // n)
+        for c in range(0, len(at), step):
+            own = slice(c, c + step)
+            ok[at[own]] = np.bitwise_count(words[x[own]] ^ words[y[own]]).sum(1, dtype=np.int64) <= most[at[own]]
+    return ok
+
+
 def _row_key(id_col: str, text_col: str) -> list:
     """What tells rows apart: id and a hash of the text."""
     return [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("c")]
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, c, node, size, f0, f1) of each row; equal sets of shingles have one node."""
+    """(id, c, node, size, f0, f1, bits) of each row; equal sets of shingles have one node. ``bits``: the set's parity."""
     import pyarrow as pa
     from xxhash import xxh64_intdigest
 
     def run(batches):
         for batch in sliced(batches):
-            rows = [[], [], [], []]
+            rows, bits = [[], [], [], []], []
             for t in batch.column(2).cast(pa.large_binary()).to_pylist():
                 h = shingles(t or b"", shingle)
                 node = xxh64_intdigest(h.tobytes(), 1)
                 for column, v in zip(rows, (node - (node >> 63 << 64), len(h), *signature(h)), strict=True):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(r, pa.int64()) for r in rows]], ["id", "c", "node", "size", "f0", "f1"])
+                bits.append(parity(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(r, pa.int64()) for r in rows], pa.array(bits, pa.binary())], ["id", "c", "node", "size", "f0", "f1", "bits"])
+
+    return small_batches(docs).select(*_row_key(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, "id long, c long, node long, size long, f0 long, f1 long, bits binary")
 
-    return small_batches(docs).select(*_row_key(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, "id long, c long, node long, size long, f0 long, f1 long")
+
+#: Bits of a group's number that tell the parts of a key.
+PART = 28
 
 
 def _leaders(bits: int):
-    """A function of Arrow batches sorted by ``group``: (a, b) of each text and the leaders of its group within ``bits``, and the leaders (b null) of groups that are marked ``hot``."""
+    """A function of Arrow batches sorted by ``group`` (a key and, in its last PART bits, a part): (a, b) of each text and the leaders of its group within ``bits``, and the leaders (b null) of groups that are marked ``hot``."""
     import pyarrow as pa
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -293,7 +328,7 @@ def _leaders(bits: int):
         last, nodes, prints = None, np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64)
         for batch in batches:
             group, node, hot = (batch.column(c).to_numpy() for c in ("group", "node", "hot"))
-            key = batch.column("key").to_numpy()
+            key = group >> PART
             fp = np.stack([batch.column(f"f{i}").to_numpy().view(np.uint64) for i in range(LANES)], axis=1)
             if not len(group):
                 continue
@@ -375,16 +410,17 @@ def candidates(nodes: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
     part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")) + 1, F.lit(0))
     keyed = keyed.select("node", "f0", "f1", key.alias("key"), part.alias("part"))
     # a key whose two values are not both frequent would meet itself only in part: its rare side goes to the second round too
-    keyed = keyed.select("node", "f0", "f1", "key", (F.col("key") * (1 << 28) + F.col("part")).alias("group"), F.lit(0 if often.isEmpty() else 1).alias("hot"))
+    keyed = keyed.select("node", "f0", "f1", "key", (F.col("key") * (1 << PART) + F.col("part")).alias("group"))
     schema = "a long, b long, key long, f0 long, f1 long"
     run = _leaders(bits)
     if often.isEmpty():
-        met = keyed.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, schema)
+        # a row holds nothing that another of its columns tells: there is one for each of a text's keys
+        met = keyed.select("node", "f0", "f1", "group").repartition("group").withColumn("hot", F.lit(0)).sortWithinPartitions("group", "node").mapInArrow(run, schema)
         return written(met.select("a", "b").distinct(), "pairs")
     busy = often.select(F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("bit"), F.col("s").alias("seg"), F.col("v").alias("value")).select(key.alias("k")).distinct()
-    keyed = keyed.drop("hot").join(busy, F.col("key") == F.col("k"), "left").select("node", "f0", "f1", "key", "group", F.col("k").isNotNull().cast("int").alias("hot"))
+    keyed = keyed.join(busy, F.col("key") == F.col("k"), "left").select("node", "f0", "f1", "group", F.col("k").isNotNull().cast("int").alias("hot"))
     met = written(keyed.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, schema), "met")
-    ahead = met.where("b is null").select(F.col("a").alias("node"), "f0", "f1", "key", F.col("key").alias("group"), F.lit(0).alias("hot"))
+    ahead = met.where("b is null").select(F.col("a").alias("node"), "f0", "f1", (F.col("key") * (1 << PART)).alias("group"), F.lit(0).alias("hot"))
     again = ahead.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, schema)
     return written(met.where("b is not null").select("a", "b").unionByName(again.select("a", "b")).distinct(), "pairs")
 
@@ -415,32 +451,52 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, place: np.ndarray, similari
     return hashes[np.lexsort((hashes, rank))][: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
 
 
-def _meeting(similarity: float):
-    """A function of Arrow batches sorted by key and root: pairs (a, b) of different roots that can have the key as their first common shingle and be similar enough."""
+ROWS = "key long, root long, node long, before long, size int, at int"
+
+
+def _meeting(similarity: float, most: int | None = None):
+    """A function of Arrow batches sorted by key and root: pairs (a, b) of different roots that can have the key as their first common shingle and be similar enough.
+
+    With ``most``, rows of keys that more rows share are passed on beside the pairs (b null). Rows that have ``bits``, their sets' parities, and a ``part`` make
+    pairs that the parities allow; those of one part make none, unless it is -1.
+    """
     import pyarrow as pa
 
-    def pairs(key, root, node, before, size, at):
+    columns, types = ["key", "root", "node", "before", "size", "at"], [*[pa.int64()] * 4, *[pa.int32()] * 2]
+
+    def pairs(key, root, node, before, size, at, part=None, bits=None):
         def can(i, j):
             first = (before[i] != before[j]) | (at[i] == 0) | (at[j] == 0)  # else the shingle before is common, too
             room = np.minimum(size[i] - at[i], size[j] - at[j]) * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-9
-            return (root[i] != root[j]) & first & room
+            met = True if part is None else (part[i] != part[j]) | (part[i] < 0)
+            return (root[i] != root[j]) & first & room & met
 
         def out(i, j):
+            if bits is not None:
+                ok = may_be_similar(bits, size, i, j, similarity)
+                i, j = i[ok], j[ok]
             found = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            made = pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            return made if most is None else pa.RecordBatch.from_arrays([*made.columns, *[pa.nulls(made.num_rows, t) for t in types]], ["a", "b", *columns])
 
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
         sizes, mixed = ends - starts, root[starts] != root[ends - 1]
         end = np.repeat(ends, sizes)
-        i, step, hits = np.flatnonzero(np.repeat(mixed & (sizes <= 64), sizes)), 1, []
+        i, step, hits = np.flatnonzero(np.repeat(mixed & (sizes <= (64 if most is None else most)), sizes)), 1, []
         while len(i := i[i + step < end[i]]):
             hit = i[can(i, i + step)]
             hits.append((hit, hit + step))
             step += 1
         if hits:
             yield out(*map(np.concatenate, zip(*hits, strict=True)))
-        for g in np.flatnonzero(mixed & (sizes > 64)).tolist():
+        large = mixed & (sizes > (64 if most is None else most))
+        if most is not None:
+            i = np.flatnonzero(np.repeat(large, sizes))
+            rows = [pa.array(x[i], t) for x, t in zip((key, root, node, before, size, at), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64()), *rows], ["a", "b", *columns])
+            return
+        for g in np.flatnonzero(large).tolist():
             b, e = int(starts[g]), int(ends[g])
             for c in range(b, e, 64):
                 rows = np.arange(c, min(c + 64, e))[:, None]
@@ -457,7 +513,7 @@ def _meeting(similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(c).to_numpy() for c in ("key", "root", "node", "before", "size", "at")]
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names]
             own = [np.concatenate(x) for x in zip(held, own, strict=True)] if held else own
             cut = int(np.searchsorted(own[0], own[0][-1]))  # the last key may go on
             held = [x[cut:] for x in own]
@@ -469,8 +525,25 @@ def _meeting(similarity: float):
     return run
 
 
-def unlinked(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different roots among which are all pairs of at least ``similarity``. ``texts``: (node, root, text)."""
+def near_enough(pairs: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and parities allow; ``parities``: (node, size, bits)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            size = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
+            ok = np.minimum(size[:n], size[n:]) >= np.maximum(size[:n], size[n:]) * similarity - 1e-9
+            at = np.flatnonzero(ok)
+            ok[at] = may_be_similar([*batch.column("x").to_pylist(), *batch.column("y").to_pylist()], size, at, at + n, similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(parities.toDF("a", "na", "x"), "a").join(parities.toDF("b", "nb", "y"), "b")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def unlinked(texts: DataFrame, parities: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different roots among which are all pairs of at least ``similarity``. ``texts``: (node, root, text); ``parities``: (node, size, bits)."""
     import pyarrow as pa
 
     def run(batches):
@@ -484,8 +557,21 @@ def unlinked(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle:
             columns += [np.repeat([len(h) for h in sets], n).astype(np.int32), np.concatenate([np.arange(k) for k in n]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "root", "node", "before", "size", "at"])
 
-    dealt = texts.mapInArrow(run, "key long, root long, node long, before long, size int, at int").repartition("key").sortWithinPartitions("key", "root")
-    return written(dealt.mapInArrow(_meeting(similarity), "a long, b long").distinct(), "unlinked")
+    dealt = texts.mapInArrow(run, ROWS).repartition("key").sortWithinPartitions("key", "root")
+    met = written(dealt.mapInArrow(_meeting(similarity, MEET), f"a long, b long, {ROWS}"), "met")
+    found = near_enough(met.where("b is not null").select("a", "b").distinct(), parities, similarity)
+    large = met.where("b is null").drop("a", "b")
+    if large.isEmpty():
+        return found
+    # rows of a key that many share meet by tiles, so that pairs leave only where the parities allow them
+    tiles = large.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    placed = large.join(tiles, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    part = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("part")
+    placed = placed.select(key, "root", "node", "before", placed["size"], "at", part).join(parities.select(F.col("node").alias("n"), "bits"), F.col("node") == F.col("n")).drop("n")
+    more = placed.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_meeting(similarity), "a long, b long")
+    return found.unionByName(more).distinct()
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILAR, hot: int = HOT) -> DataFrame:
@@ -495,16 +581,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """
     import pyarrow as pa
 
+    spark = docs.sparkSession
     rows = written(signatures(docs, id_col, text_col, shingle), "signatures")
-    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "f0", "f1")], F.min(F.struct(F.col("id").isNull(), "id", "c")).alias("row"))
-    nodes = written(nodes.select("node", "size", "f0", "f1", F.col("row.id").alias("id"), F.col("row.c").alias("c")), "nodes")
+    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "f0", "f1", "bits")], F.min(F.struct(F.col("id").isNull(), "id", "c")).alias("row"))
+    nodes = written(nodes.select("node", "size", "f0", "f1", "bits", F.col("row.id").alias("id"), F.col("row.c").alias("c")), "nodes")
+    parities = nodes.select("node", "size", "bits")
     share = 2 * similarity / (1 + similarity)  # the cosine of equal sets; the distance it makes likely, and four deviations more
     p = float(np.arccos(share) / np.pi)
     bits = int(64 * LANES * p + 4 * np.sqrt(64 * LANES * p * (1 - p)))
-    pairs = candidates(nodes.where("size > 0"), bits, hot)
-    size = nodes.select("node", "size")
-    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    pairs = written(sized.where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity).select("a", "b"), "pairs")
+    pairs = settled(spark, "near", lambda: near_enough(candidates(nodes.where("size > 0").select("node", "f0", "f1"), bits, hot), parities, similarity))
+
     def sets(batches):
         for batch in sliced(batches):
             blobs = [shingles(t or b"", shingle).tobytes() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
@@ -528,16 +614,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         texts = all_texts.join(_sent(held), same).select("node", "text")
         members = written(texts.mapInArrow(sets, "node long, members binary").groupBy("node").agg(F.first("members").alias("members")), "members")
         met = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return written(met.mapInArrow(verify, "a long, b long"), "linked")
+        return met.mapInArrow(verify, "a long, b long")
 
-    linked = verified(pairs)
-    roots = components(linked)
+    linked = settled(spark, "linked", lambda: verified(pairs))
+    roots = settled(spark, "roots", lambda: components(linked))
     rooted = nodes.where("size > 0").join(roots.toDF("n", "root"), F.col("node") == F.col("n"), "left")
     rooted = written(rooted.select(F.col("id").alias("i"), F.col("c").alias("k"), "node", F.coalesce("root", "node").alias("root")), "rooted")
     texts = all_texts.join(_sent(rooted), same).select("node", "root", "text")
-    more = verified(unlinked(texts, _frequent(docs, text_col, shingle), shingle, similarity))
-    if not more.isEmpty():
-        roots = components(linked.unionByName(more))
+    pairs = settled(spark, "unlinked", lambda: unlinked(texts, parities, _frequent(docs, text_col, shingle), shingle, similarity))
+    more = settled(spark, "linked", lambda: verified(pairs))
+    if not more.isEmpty():  # links between components: their roots are joined, and no link is met again
+        root = rooted.select("node", "root")
+        tops = more.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select("ra", "rb").distinct()
+        tops = settled(spark, "roots", lambda: components(tops, "ra", "rb"))
+        roots = root.join(tops.toDF("r", "top"), F.col("root") == F.col("r"), "left").select("node", F.coalesce("top", "root").alias("root"))
     return rows.join(roots, rows["node"] == roots["node"], "left").select("id", "c", F.coalesce("root", rows["node"]).alias("root"))
 
 
@@ -546,11 +636,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows that are alike in id and text are one; other rows that share an id, or have none, are rows of their own.
     """
-    rows = similar(docs, id_col, text_col, **how)
-    least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "c")).alias("row"))
-    count = rows.groupBy("id", "c").agg(F.count(F.lit(1)).alias("n"))
-    kept = least.select(F.col("row.id").alias("i"), F.col("row.c").alias("k")).join(count, F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("c"))).select("i", "k", "n")
-    kept = written(kept, "kept")
+
+    def chosen() -> DataFrame:
+        rows = similar(docs, id_col, text_col, **how)
+        least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "c")).alias("row"))
+        count = rows.groupBy("id", "c").agg(F.count(F.lit(1)).alias("n"))
+        return least.select(F.col("row.id").alias("i"), F.col("row.c").alias("k")).join(count, F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("c"))).select("i", "k", "n")
+
+    kept = settled(docs.sparkSession, "kept", chosen)
     key = _row_key(id_col, text_col)
     keyed = boxed(docs, id=key[0], c=key[1])
     on = F.col("id").eqNullSafe(F.col("i")) & (F.col("c") == F.col("k"))

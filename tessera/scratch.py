@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import atexit
 import itertools
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _serial = itertools.count()
 _folders: dict[str, SparkSession] = {}
+_within: ContextVar[str | None] = ContextVar("_within", default=None)
 
 
 def _path(spark: SparkSession, address: str):
@@ -36,7 +39,7 @@ def folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{folder(spark)}/{what}-{next(_serial)}"
+    return f"{_within.get() or folder(spark)}/{what}-{next(_serial)}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -53,3 +56,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``make()``, written; the tables that it wrote on its way go."""
+    path = new_path(spark, what)
+    before = _within.set(f"{path}-parts")
+    try:
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        remove(spark, _within.get())
+        _within.reset(before)
+    return spark.read.schema(df.schema).parquet(path)

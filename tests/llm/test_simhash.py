@@ -186,3 +186,84 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(7, 7), (None, 3), (500, 499)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 180)} | {499: 499, 500: 499}
+
+
+def test_parities_leave_out_no_similar_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.zeros(0, np.uint64), np.array([5], np.uint64)]
+    for n in [1, 3, 8, 40, 63, 64, 65, 300, 511, 513, 4000]:
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (1, 0.95, 0.9, 0.89, 0.8, 0.6, 0.3):
+            fresh = rng.integers(0, 2**63, int(n * (1 - share) * rng.choice([0.5, 1, 2])), dtype=np.uint64)
+            sets.append(np.unique(np.r_[base[: int(np.ceil(n * share))], fresh]))
+    i, j = map(np.ravel, np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    size = np.array(list(map(len, sets)))
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    alike = both >= 0.8 * (size[i] + size[j] - both)
+    may = simhash.may_be_similar([simhash.parity(s) for s in sets], size, i, j, 0.8)
+    assert may[alike].all() and alike.sum() > 100
+    apart = (np.minimum(size[i], size[j]) >= np.maximum(250, 0.8 * np.maximum(size[i], size[j]))) & (both < 0.6 * (size[i] + size[j] - both))
+    assert apart.sum() > 10 and not may[apart].any()
+
+
+def texts_of_one_base(rng, n, changed, words=200):
+    """Texts whose sets share most shingles, each with ``changed`` words of its own (each of them in five shingles)."""
+    base, out = [f"b{i}" for i in range(words)], []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(2, words - 2, 5), changed):
+            w[k] = f"own{i}x{k}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.fixture
+def tables(spark, monkeypatch):
+    """Rows of each table that is written."""
+    from pyspark.sql import DataFrameWriter
+
+    found, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **b):
+        write(self, path, *a, **b)
+        found.append(spark.read.parquet(path).count())
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    return found
+
+
+def test_rows_do_not_grow_with_the_square_of_a_group(spark, tables):
+    """Many texts that share a base, none of them similar enough: their pairs are 79,800."""
+    texts = texts_of_one_base(random.Random(4), 400, 4)
+    got = {r.id: r.root for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    own = [sets(t) for t in texts]
+    alike = [len(a & b) / len(a | b) for n, a in enumerate(own) for b in own[:n]]
+    assert min(alike) > 0.6 and sum(x >= 0.8 for x in alike) < 10
+    assert len(set(got.values())) >= len(texts) - sum(x >= 0.8 for x in alike)
+    assert tables and max(tables) < 79_800 / 4
+
+
+@pytest.mark.parametrize("most", [1, 6, 1000])
+def test_texts_that_meet_by_tiles_lose_no_link(spark, most, monkeypatch):
+    """Groups about the least similarity, whether pairs are made at once or texts meet in tiles of four."""
+    monkeypatch.setattr(simhash, "MEET", most)
+    monkeypatch.setattr(simhash, "TILE", 4)
+    monkeypatch.setattr(simhash, "COUNTED", 1)
+    monkeypatch.setattr(simhash, "candidates", lambda nodes, bits, hot: nodes.select(nodes["node"].alias("a"), nodes["node"].alias("b")).limit(0))
+    rng = random.Random(most)
+    texts = [t for k in (2, 4, 5, 6) for t in texts_of_one_base(rng, 12, k)]
+    got = {r.id: r.root for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = reach(range(len(texts)), lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+    assert 1 < len(set(want.values())) < len(texts)
+    assert {tuple(sorted(i for i in got if got[i] == r)) for r in set(got.values())} == {tuple(sorted(i for i in want if want[i] == r)) for r in set(want.values())}
+
+
+def test_only_what_is_read_later_stays_in_the_shared_folder(spark):
+    import os
+
+    from tessera import scratch
+
+    top = scratch.folder(spark).removeprefix("file:")
+    there = set(os.listdir(top)) if os.path.isdir(top) else set()
+    rows = simhash.keep_one(spark.createDataFrame([(i, f"text {i // 2} of a few words") for i in range(20)], "doc_id long, text string"))
+    assert len(set(os.listdir(top)) - there) == 1 and rows.count() == 10
